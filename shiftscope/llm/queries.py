@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftscope.llm import exact_dedup
+from shiftscope.llm import exact_dedup, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op4_quality_rules": quality_rules.op4_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
