@@ -3,7 +3,7 @@
 Training (labels of rows whose crc32(id as text) mod 5 is not 0, at most ``MAX_TRAIN``
 of them, chosen by hash): token counts by label give log-odds with an informative
 Dirichlet prior (Monroe, Colaresi and Quinn 2008); tokens are lower-cased words, backed
-off to their first ``PREFIX`` bytes so that inflected forms share evidence.  Token counts
+off to their first 7 and then 5 bytes so that inflected forms share evidence.  Token counts
 come from remainders 1-3, the calibration below from remainder 4.
 
 Scoring: one linear scan (Ruzzo and Tompa 1999) finds all maximal-scoring segments of a
@@ -34,16 +34,16 @@ from shiftscope.llm.common import durable, only, slices, table
 
 #: Bound of the labelled sample that the model is fitted on, and of the token table that is broadcast.
 MAX_TRAIN, MAX_TOKENS = 50_000, 100_000
-PREFIX = 5
+PREFIXES = (7, 5)
 PRIOR_TOKENS = 2_000.0
-MIN_COUNT, MIN_Z = 3, 2.5
+MIN_COUNT, MIN_Z, MIN_DELTA = 3, 2.5, 1.0
 DRIFT = 0.5
 CLIP = 8.0
 MAX_E = 0.05
 
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
-_PREFIX_SALT = np.uint64(0xA5A5A5A55A5A5A5A)
+_SALTS = tuple(np.uint64(0xA5A5A5A55A5A5A5A * (k + 1) % (1 << 64)) for k in range(len(PREFIXES)))
 
 TOKEN_SCHEMA = "h long, toxic long, clean long"
 SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_words long, n_segments long, best double, segments array<struct<first_word:int,last_word:int,score:double>>"
@@ -61,25 +61,22 @@ class Model:
     weights: tuple[float, float, float] = (-50.0, 0.0, 0.0)
 
 
-def tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hash, prefix hash, first word of each row) of the lower-cased words without outer ASCII punctuation."""
+def tokens(part: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+    """([word hash, prefix hashes, long prefix first], first word of each row) of the lower-cased words without outer ASCII punctuation."""
     raw, offsets = tk.buffer_of(part.column("text"))
     raw = tk.lower_ascii(raw)
     start, end, first = tk.spans(raw, offsets)
     for _ in range(3):
         start = start + (_PUNCT[raw[start]] & (start + 1 < end))
         end = end - (_PUNCT[raw[end - 1]] & (start + 1 < end))
-    word = tk.span_hashes(raw, start, end)
-    prefix = tk.span_hashes(raw, start, np.minimum(end, start + PREFIX)) ^ _PREFIX_SALT
-    return word, prefix, first
+    return [tk.span_hashes(raw, start, end), *(tk.span_hashes(raw, start, np.minimum(end, start + k)) ^ salt for k, salt in zip(PREFIXES, _SALTS))], first
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
-        word, prefix, first = tokens(part)
-        toxic = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False), np.diff(first))
-        h, at = np.unique(np.concatenate([word, prefix]), return_inverse=True)
-        toxic = np.concatenate([toxic, toxic])
+        keys, first = tokens(part)
+        toxic = np.tile(np.repeat(part.column("toxic").to_numpy(zero_copy_only=False), np.diff(first)), len(keys))
+        h, at = np.unique(np.concatenate(keys), return_inverse=True)
         yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "toxic": np.bincount(at, toxic, len(h)).astype(np.int64), "clean": np.bincount(at, 1 - toxic, len(h)).astype(np.int64)})
 
 
@@ -91,16 +88,19 @@ def log_odds(counts: DataFrame) -> DataFrame:
     delta = F.log(y1 / (F.col("n1") + PRIOR_TOKENS - y1)) - F.log(y0 / (F.col("n0") + PRIOR_TOKENS - y0))
     z = delta / F.sqrt(1 / y1 + 1 / y0)
     full = counts.filter(F.col("toxic") + F.col("clean") >= MIN_COUNT).crossJoin(F.broadcast(n)).select("h", delta.alias("delta"), z.alias("z"))
-    return full.filter(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "h").limit(MAX_TOKENS).select("h", "delta")
+    return full.filter((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_DELTA)).orderBy(F.abs("z").desc(), "h").limit(MAX_TOKENS).select("h", "delta")
 
 
-def token_scores(model: Model, word: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+def token_scores(model: Model, keys: list[np.ndarray]) -> np.ndarray:
+    """Log-odds less the drift; a word right after itself is no new evidence."""
+    word = keys[0]
     score = np.zeros(len(word))
     if len(model.hashes):
-        for h in (prefix, word):  # the word's own evidence goes before its prefix's
+        for h in reversed(keys):  # a word's own evidence goes before its prefixes'
             at = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)
             hit = model.hashes[at] == h
             score[hit] = model.scores[at[hit]]
+    score[1:][word[1:] == word[:-1]] = 0.0
     return np.clip(score, -CLIP, CLIP) - DRIFT
 
 
@@ -143,8 +143,8 @@ def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 
 def _features(model: Model, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """(words, -ln E of the best segment or 0, sum over significant segments, segments)."""
-    word, prefix, first = tokens(part)
-    score = token_scores(model, word, prefix)
+    keys, first = tokens(part)
+    score = token_scores(model, keys)
     n_words = np.diff(first)
     top = best_segment(score, first)
     with np.errstate(divide="ignore"):
@@ -176,8 +176,8 @@ def _lambda(score: np.ndarray) -> float:
 def _histogram(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            word, prefix, first = tokens(part)
-            s, n = np.unique(np.round(token_scores(model, word, prefix) * 64).astype(np.int64), return_counts=True)
+            keys, _ = tokens(part)
+            s, n = np.unique(np.round(token_scores(model, keys) * 64).astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_pydict({"bin": s, "n": n})
 
     return run
@@ -186,8 +186,8 @@ def _histogram(model: Model):
 def _peaks(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            word, prefix, first = tokens(part)
-            top = best_segment(token_scores(model, word, prefix), first)
+            keys, first = tokens(part)
+            top = best_segment(token_scores(model, keys), first)
             n = np.diff(first)
             yield pa.RecordBatch.from_pydict({"v": np.maximum(n, 1) * np.exp(-model.lam * top)})
 
