@@ -3,7 +3,8 @@
 Training (labels of rows whose crc32(id as text) mod 5 is not 0, at most ``MAX_TRAIN``
 of them, chosen by hash): token counts by label give log-odds with an informative
 Dirichlet prior (Monroe, Colaresi and Quinn 2008); tokens are lower-cased words, backed
-off to their first 7 and then 5 bytes so that inflected forms share evidence.  Token counts
+off to prefixes of 7, 5, 4 and 3 bytes so that inflected forms share evidence; of a word
+and its prefixes the one whose log-odds are furthest from 0 by their lower bound counts.  Token counts
 come from remainders 1-3, the calibration below from remainder 4.
 
 Scoring: one linear scan (Ruzzo and Tompa 1999) finds all maximal-scoring segments of a
@@ -34,7 +35,7 @@ from shiftscope.llm.common import durable, only, slices, table
 
 #: Bound of the labelled sample that the model is fitted on, and of the token table that is broadcast.
 MAX_TRAIN, MAX_TOKENS = 50_000, 100_000
-PREFIXES = (7, 5)
+PREFIXES = (7, 5, 4, 3)
 PRIOR_TOKENS = 2_000.0
 MIN_COUNT, MIN_Z, MIN_DELTA = 3, 2.5, 1.0
 DRIFT = 0.5
@@ -56,51 +57,58 @@ class Model:
 
     hashes: np.ndarray  # sorted uint64
     scores: np.ndarray
+    sure: np.ndarray  # |log-odds| less two standard errors
     lam: float = 1.0
     k: float = 1.0
     weights: tuple[float, float, float] = (-50.0, 0.0, 0.0)
 
 
-def tokens(part: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
-    """([word hash, prefix hashes, long prefix first], first word of each row) of the lower-cased words without outer ASCII punctuation."""
+def tokens(part: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """([hash, prefix hashes] of each distinct word, the distinct word of each word, first word of each row).
+
+    Words are lower-cased and lose outer ASCII punctuation.
+    """
     raw, offsets = tk.buffer_of(part.column("text"))
     raw = tk.lower_ascii(raw)
     start, end, first = tk.spans(raw, offsets)
     for _ in range(3):
         start = start + (_PUNCT[raw[start]] & (start + 1 < end))
         end = end - (_PUNCT[raw[end - 1]] & (start + 1 < end))
-    return [tk.span_hashes(raw, start, end), *(tk.span_hashes(raw, start, np.minimum(end, start + k)) ^ salt for k, salt in zip(PREFIXES, _SALTS))], first
+    word, at, which = np.unique(tk.span_hashes(raw, start, end), return_index=True, return_inverse=True)
+    start, end = start[at], end[at]
+    return [word, *(tk.span_hashes(raw, start, np.minimum(end, start + k)) ^ salt for k, salt in zip(PREFIXES, _SALTS))], which, first
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
-        keys, first = tokens(part)
-        toxic = np.tile(np.repeat(part.column("toxic").to_numpy(zero_copy_only=False), np.diff(first)), len(keys))
+        keys, which, first = tokens(part)
+        label = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False), np.diff(first))
         h, at = np.unique(np.concatenate(keys), return_inverse=True)
-        yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "toxic": np.bincount(at, toxic, len(h)).astype(np.int64), "clean": np.bincount(at, 1 - toxic, len(h)).astype(np.int64)})
+        toxic, clean = np.bincount(which, label, len(keys[0])), np.bincount(which, 1 - label, len(keys[0]))
+        yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "toxic": np.bincount(at, np.tile(toxic, len(keys)), len(h)).astype(np.int64), "clean": np.bincount(at, np.tile(clean, len(keys)), len(h)).astype(np.int64)})
 
 
 def log_odds(counts: DataFrame) -> DataFrame:
-    """(h, delta) of the tokens whose log-odds differ from 0, at most MAX_TOKENS, those with the largest z first."""
+    """(h, delta, z) of the tokens whose log-odds differ from 0, at most MAX_TOKENS, those with the largest z first."""
     n = counts.agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0"))
     a = F.lit(PRIOR_TOKENS) * (F.col("toxic") + F.col("clean")) / (F.col("n1") + F.col("n0"))
     y1, y0 = F.col("toxic") + a, F.col("clean") + a
     delta = F.log(y1 / (F.col("n1") + PRIOR_TOKENS - y1)) - F.log(y0 / (F.col("n0") + PRIOR_TOKENS - y0))
     z = delta / F.sqrt(1 / y1 + 1 / y0)
     full = counts.filter(F.col("toxic") + F.col("clean") >= MIN_COUNT).crossJoin(F.broadcast(n)).select("h", delta.alias("delta"), z.alias("z"))
-    return full.filter((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_DELTA)).orderBy(F.abs("z").desc(), "h").limit(MAX_TOKENS).select("h", "delta")
+    return full.filter((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_DELTA)).orderBy(F.abs("z").desc(), "h").limit(MAX_TOKENS)
 
 
-def token_scores(model: Model, keys: list[np.ndarray]) -> np.ndarray:
-    """Log-odds less the drift; a word right after itself is no new evidence."""
-    word = keys[0]
-    score = np.zeros(len(word))
+def token_scores(model: Model, keys: list[np.ndarray], which: np.ndarray) -> np.ndarray:
+    """Log-odds less the drift of each word; a word right after itself is no new evidence."""
+    score, sure = np.zeros(len(keys[0])), np.zeros(len(keys[0]))
     if len(model.hashes):
-        for h in reversed(keys):  # a word's own evidence goes before its prefixes'
+        for h in keys:
             at = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)
-            hit = model.hashes[at] == h
-            score[hit] = model.scores[at[hit]]
-    score[1:][word[1:] == word[:-1]] = 0.0
+            hit = np.flatnonzero((model.hashes[at] == h) & (model.sure[at] > sure))
+            score[hit], sure[hit] = model.scores[at[hit]], model.sure[at[hit]]
+    score = score[which]
+    score[1:][which[1:] == which[:-1]] = 0.0
     return np.clip(score, -CLIP, CLIP) - DRIFT
 
 
@@ -143,8 +151,8 @@ def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 
 def _features(model: Model, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """(words, -ln E of the best segment or 0, sum over significant segments, segments)."""
-    keys, first = tokens(part)
-    score = token_scores(model, keys)
+    keys, which, first = tokens(part)
+    score = token_scores(model, keys, which)
     n_words = np.diff(first)
     top = best_segment(score, first)
     with np.errstate(divide="ignore"):
@@ -176,8 +184,8 @@ def _lambda(score: np.ndarray) -> float:
 def _histogram(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            keys, _ = tokens(part)
-            s, n = np.unique(np.round(token_scores(model, keys) * 64).astype(np.int64), return_counts=True)
+            keys, which, _ = tokens(part)
+            s, n = np.unique(np.round(token_scores(model, keys, which) * 64).astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_pydict({"bin": s, "n": n})
 
     return run
@@ -186,8 +194,8 @@ def _histogram(model: Model):
 def _peaks(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            keys, first = tokens(part)
-            top = best_segment(token_scores(model, keys), first)
+            keys, which, first = tokens(part)
+            top = best_segment(token_scores(model, keys, which), first)
             n = np.diff(first)
             yield pa.RecordBatch.from_pydict({"v": np.maximum(n, 1) * np.exp(-model.lam * top)})
 
@@ -233,20 +241,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = log_odds(durable(counts)).toPandas()
     h = found["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    model = Model(h[order], found["delta"].to_numpy(float)[order])
+    model = Model(h[order], found["delta"].to_numpy(float)[order], (found["delta"].abs() * (1 - 2 / found["z"].abs())).to_numpy(float)[order])
     held = own.filter(rest == 4)
     clean = held.filter("toxic = 0")
     bins = clean.mapInArrow(_histogram(model), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # 64 bins a unit of score, within +-CLIP
     if bins.empty:
         return model
     lam = _lambda(np.repeat(bins["bin"].to_numpy() / 64, np.maximum(1, bins["n"].to_numpy() * 1_000_000 // bins["n"].sum())))
-    model = Model(model.hashes, model.scores, lam)
+    model = Model(model.hashes, model.scores, model.sure, lam)
     mean = clean.mapInArrow(_peaks(model), "v double").agg(F.avg("v")).first()[0]
-    model = Model(model.hashes, model.scores, lam, 1.0 / max(mean, 1e-12))
+    model = Model(model.hashes, model.scores, model.sure, lam, 1.0 / max(mean, 1e-12))
     seen = held.mapInArrow(_calibrate(model), "toxic long, best double, total double").toPandas()  # max_train rows at most
     if seen["toxic"].nunique() < 2:
         return model
-    return Model(model.hashes, model.scores, lam, model.k, _logistic(squash(seen["best"].to_numpy(), seen["total"].to_numpy()), seen["toxic"].to_numpy(float)))
+    return Model(model.hashes, model.scores, model.sure, lam, model.k, _logistic(squash(seen["best"].to_numpy(), seen["total"].to_numpy()), seen["toxic"].to_numpy(float)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
