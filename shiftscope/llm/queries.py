@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftscope.llm import exact_dedup, quality_rules, toxicity
+from shiftscope.llm import bpe, exact_dedup, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op10_bpe": bpe.op10_bpe,
     }
 
 
