@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftscope.llm import bpe, exact_dedup, quality_rules, toxicity
+from shiftscope.llm import bpe, exact_dedup, html_text, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": html_text.op1_html_extraction,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
