@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftscope.llm import bpe, exact_dedup, html_text, quality_rules, toxicity
+from shiftscope.llm import bpe, chat_format, exact_dedup, html_text, quality_rules, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_extraction": html_text.op1_html_extraction,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_quality_rules": quality_rules.op4_quality_rules,
+        "op6_chat_formatting": chat_format.op6_chat_formatting,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op10_bpe": bpe.op10_bpe,
     }
@@ -21,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_chat_formatting": chat_format.OP6_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
     }
