@@ -3,10 +3,12 @@
 1. Split: each slice of texts (about ``SLICE`` bytes of one task's rows) is split into
    the tokenizer's words; a slice yields its distinct words and, for every text, the
    positions' word numbers.
-2. Encode: the distinct words of all slices are encoded once each.
-3. Join back: (slice, number, word) meets (word, ids); a slice's ids are gathered beside
-   its position lists and written out by position.  A frequent word has one row a slice,
-   however often it stands there, so no key is hot.
+2. Encode: the word table is dealt by the words' hash, so that each distinct word of all
+   slices is in one place and is encoded once.  Words travel packed, a row for each slice
+   and part of the table.
+3. Join back: a word's ids return to the slices that hold it, by its number there, and
+   are written out by position beside the slice's position lists.  A frequent word goes
+   to a slice once, however often it stands there, so no key is hot.
 4. Decode: each id is looked up in the id-to-piece table, whose size is the vocabulary's.
 
 Slices are named by a hash of their ids and texts.  The split runs once for the words and
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,10 +35,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftscope.llm.common import durable, only, slices, table
+from shiftscope.llm.common import only, slices, table
 
 SLICE = 16 << 20
 #: Splits text before the merges; a fixed value of byte-level tokenizer files. White space is Unicode's White_Space.
@@ -103,17 +107,42 @@ def _parts(spec: str, batches: Iterator[pa.RecordBatch], lists: bool):
         yield name.intdigest() - (1 << 63), ids, list(number), np.array(sizes, np.int64), np.concatenate(flat) if lists and flat else None
 
 
-def _words(spec):
+def _pack(*arrays: np.ndarray | bytes) -> bytes:
+    """Arrays of uint32 (and one run of bytes at the end) as pressed bytes."""
+    head = np.array([len(arrays), *(len(a) for a in arrays)], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a if isinstance(a, bytes) else a.astype("<u4").tobytes() for a in arrays))
+
+
+def _unpack(packed: bytes) -> list:
+    """uint32 arrays; the last as bytes."""
+    data = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    sizes, at, out = np.frombuffer(data, "<u4", n, 4).tolist(), 4 + 4 * n, []
+    for size in sizes[:-1]:
+        out.append(np.frombuffer(data, "<u4", size, at))
+        at += 4 * size
+    return [*out, data[at:]]
+
+
+def _words(spec, parts: int):
+    """The distinct words of each slice with their numbers, packed by part of the word table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, words, _, _ in _parts(spec.value, batches, False):
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([name], pa.int64()), "words": pa.array([words], pa.list_(pa.string()))})
+            dealt: list[list] = [[] for _ in range(parts)]
+            for n, word in enumerate(words):
+                own = word.encode()
+                dealt[zlib.crc32(own) % parts].append((own, n))
+            for part, rows in enumerate(dealt):
+                if rows:
+                    rows.sort()  # like words side by side press better
+                    packed = _pack(np.array([n for _, n in rows], np.uint32), np.array([len(w) for w, _ in rows], np.uint32), b"".join([w for w, _ in rows]))
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "slice": pa.array([name], pa.int64()), "words": [packed]})
 
     return run
 
 
 def _positions(spec):
-    import zstandard
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for name, ids, _, sizes, flat in _parts(spec.value, batches, True):
@@ -125,51 +154,53 @@ def _positions(spec):
 
 
 def _encode(spec):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, _, _, _ = _tools(spec.value)
-        for b in batches:
-            words = b.column("word").to_pylist()
-            for k in range(0, len(words), 4096):
-                own = words[k : k + 4096]
-                found = tokenizer.encode_batch(own, add_special_tokens=False)
-                yield pa.RecordBatch.from_pydict({"word": own, "ids": pa.array([np.array(e.ids, "<u4").tobytes() for e in found], pa.binary())})
+    """One part of the word table: encodes each distinct word once; ids go to the slices that hold it."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        tokenizer = _tools(spec.value)[0]
+        index: dict[bytes, int] = defaultdict()
+        index.default_factory = index.__len__
+        held = []
+        for packed in rows.column("words").to_pylist():
+            numbers, sizes, data = _unpack(packed)
+            ends = np.cumsum(sizes).tolist()
+            held.append((numbers, np.fromiter((index[data[a:b]] for a, b in zip([0, *ends[:-1]], ends)), np.int64, len(ends))))
+        words, ids = [w.decode() for w in index], []
+        for k in range(0, len(words), 4096):
+            ids += [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(words[k : k + 4096], add_special_tokens=False)]
+        size = np.array([len(x) for x in ids], np.uint32)
+        sent = [_pack(numbers, size[at], np.concatenate([ids[i] for i in at.tolist()]).tobytes()) for numbers, at in held]
+        return pa.table({"slice": rows.column("slice"), "coded": pa.array(sent, pa.binary())})
 
     return run
 
 
-def word_table(split_words: DataFrame, spec) -> DataFrame:
-    """(word, ids as little-endian uint32) of every distinct word, each encoded once."""
-    return split_words.select(F.explode("words").alias("word")).distinct().mapInArrow(_encode(spec), "word string, ids binary")
-
-
 def _gather(spec, emit, schema: pa.Schema):
-    """A slice's words with ids beside its position lists."""
-    import zstandard
+    """A slice's words with their ids beside its position lists."""
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         pieces = _tools(spec.value)[3]
-        if not left.num_rows:
-            return schema.empty_table()
-        number = right.column("n").to_numpy()
-        ids: list[bytes] = [b""] * (int(number.max()) + 1 if len(number) else 0)
-        known = np.zeros(len(ids), bool)
-        known[number] = True
-        for n, own in zip(number.tolist(), right.column("ids").to_pylist()):
-            ids[n] = own
-        out = []
+        ids: dict[int, np.ndarray] = {}
+        for packed in right.column("coded").to_pylist():
+            numbers, sizes, data = _unpack(packed)
+            flat = np.frombuffer(data, "<u4")
+            ids |= zip(numbers.tolist(), np.split(flat, np.cumsum(sizes)[:-1]))
+        if sorted(ids) != list(range(len(ids))):
+            raise RuntimeError("a slice of texts was cut differently in two passes")
+        own, out = [ids[n] for n in range(len(ids))], []
         for row in left.to_pylist():
             plane = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["at"]), np.uint8)
             flat = np.ascontiguousarray(plane.reshape(4, -1).T).view(np.uint32).ravel()
-            if len(flat) and (flat.max() >= len(ids) or not known[: flat.max() + 1].all()):
+            if len(flat) and flat.max() >= len(own):
                 raise RuntimeError("a slice of texts was cut differently in two passes")
-            out.append(emit(row["ids"], np.array(row["sizes"], np.int64), flat, ids, pieces))
-        return pa.concat_tables(out)
+            out.append(emit(row["ids"], np.array(row["sizes"], np.int64), flat, own, pieces))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
 
 def _digest(doc_ids, sizes, flat, ids, pieces) -> pa.Table:
-    nums = [np.frombuffer(x, "<u4").tolist() for x in ids]
+    nums = [x.tolist() for x in ids]
     count = np.array([len(x) for x in nums] or [0], np.int64)
     shown = [",".join(map(str, x)).encode() for x in nums]
     plain = [b"".join([pieces[i] for i in x]) for x in nums]
@@ -185,10 +216,9 @@ def _digest(doc_ids, sizes, flat, ids, pieces) -> pa.Table:
 
 
 def _lists(doc_ids, sizes, flat, ids, pieces) -> pa.Table:
-    nums = [np.frombuffer(x, "<u4") for x in ids]
     own, at = [], 0
     for n in sizes.tolist():
-        own.append(np.concatenate([nums[i] for i in flat[at : at + n].tolist()]).astype(np.int32) if n else np.zeros(0, np.int32))
+        own.append(np.concatenate([ids[i] for i in flat[at : at + n].tolist()]).astype(np.int32) if n else np.zeros(0, np.int32))
         at += n
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(own, pa.list_(pa.int32()))})
 
@@ -196,11 +226,11 @@ def _lists(doc_ids, sizes, flat, ids, pieces) -> pa.Table:
 def _run(docs: DataFrame, id_col: str, text_col: str, path: str | None, emit, ddl: str, schema: pa.Schema) -> DataFrame:
     own = only(docs, id_col, text_col)
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    words = durable(own.mapInArrow(_words(spec), "slice long, words array<string>"))
-    coded = durable(word_table(words, spec))
-    met = words.select("slice", F.posexplode("words").alias("n", "word")).join(coded, "word").select("slice", "n", "ids")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = own.mapInArrow(_words(spec, parts), "part int, slice long, words binary")
+    coded = words.groupBy("part").applyInArrow(_encode(spec), "slice long, coded binary")
     places = own.mapInArrow(_positions(spec), "slice long, ids array<long>, sizes array<long>, at binary")
-    return places.groupBy("slice").cogroup(met.groupBy("slice")).applyInArrow(_gather(spec, emit, schema), ddl)
+    return places.groupBy("slice").cogroup(coded.groupBy("slice")).applyInArrow(_gather(spec, emit, schema), ddl)
 
 
 def encode_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
