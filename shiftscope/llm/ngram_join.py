@@ -352,5 +352,19 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return lone.union(named)
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that are the smallest id of their component.
+
+    Only the ids that go are joined with the rows.  Rows with a null id stay unless a linked
+    document has an id.  Rows that repeat an id stay or go together.
+    """
+    named = clusters(docs, id_col, text_col)
+    gone = durable(named.filter(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id"), F.lit(True).alias("gone")).distinct())
+    names = docs.columns
+    flat = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{id_col}`").cast("long").alias("own_id"))
+    kept = flat.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(table(spark, sf_dir, "documents"))

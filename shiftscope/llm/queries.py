@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftscope.llm import bpe, chat_format, exact_dedup, html_text, license_scan, ngram_join, quality_rules, suffix_dedup, toxicity
+from shiftscope.llm import bpe, chat_format, exact_dedup, html_text, license_scan, mixing, ngram_join, quality_rules, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": html_text.op1_html_extraction,
+        "op2_mixing": mixing.op2_mixing,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_ngram_join": ngram_join.op5_ngram_join,

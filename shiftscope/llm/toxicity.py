@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -277,6 +278,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return only(docs, id_col, text_col).select("doc_id", "text", held_out).mapInArrow(run, SCORE_SCHEMA)
 
 
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text the model does not reject; map-only."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def rejected(texts: pd.Series) -> pd.Series:
+        own, out = sent.value, []
+        column = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+        for part in slices(iter([column]), "text"):
+            _, best, total, _ = _features(own, part)
+            out.append(own.weights[0] + squash(best, total) @ np.array(own.weights[1:]) >= 0)
+        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+
+    return docs.filter(~rejected(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return score(docs, fit(docs, labels))

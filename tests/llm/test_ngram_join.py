@@ -1,37 +1,8 @@
 import random
-import re
 
 from pyspark.sql import functions as F
-from shiftscope.llm.ngram_join import clusters
-
-
-def brute(rows):
-    """rows: (id, text). Every pair is compared."""
-    sets = {}
-    for i, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    up = {i: i for i in sets}
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    index = {}
-    for i, s in sets.items():
-        for g in s:
-            index.setdefault(g, []).append(i)
-    pairs = {(a, b) for v in index.values() for k, a in enumerate(v) for b in v[k + 1 :]}
-    for a, b in pairs:
-        o = len(sets[a] & sets[b])
-        if 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o):
-            x, y = sorted((find(a), find(b)))
-            up[y] = x
-    least = {}
-    for i in sets:
-        least[find(i)] = min(i, least.get(find(i), i))
-    return {i: (len(s), least[find(i)]) for i, s in sets.items()}
+from shiftscope.llm.ngram_join import clusters, keep_one
+from tests_llm_helpers import components as brute
 
 
 def check(spark, rows, parts=3):
@@ -76,3 +47,10 @@ def test_repeats_nulls_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "z"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in clusters(df).collect()) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1)]
     assert clusters(df.limit(0)).count() == 0
+
+
+def test_keep_one(spark):
+    df = spark.createDataFrame([(3, "a b c d e f", "p"), (1, "a b c d e f", "q"), (2, "x", "r"), (None, "x", "s"), (None, None, "t")], "doc_id long, text string, component_id string")
+    out = keep_one(df)
+    assert out.columns == df.columns
+    assert sorted(r.component_id for r in out.collect()) in (["q", "r", "t"], ["q", "r"])
