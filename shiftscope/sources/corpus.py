@@ -20,8 +20,8 @@ TOKEN = r"^([^\t]+)\t([^\t]+)\t([^\t]+)\t([^\t]+)\t([^\t]+)\t([^\t]+)\t([^\t]+)$
 def raw_lines(spark: SparkSession, root: str, glob: str = "*.{txt,conllu}", recursive: bool = False) -> DataFrame:
     """(period, file, file_line, line); files directly under the root are no part of the corpus."""
     path = f"{root.rstrip('/')}/*/" + ("" if recursive else "*")
-    reader = spark.read.option("pathGlobFilter", glob).option("wholetext", True)
-    files = (reader.option("recursiveFileLookup", True).text(root) if recursive else reader.text(path)).select("value", F.col("_metadata.file_path").alias("p"))
+    reader = spark.read.option("pathGlobFilter", glob)
+    files = (reader.option("recursiveFileLookup", True).text(root, wholetext=True) if recursive else reader.text(path, wholetext=True)).select("value", F.col("_metadata.file_path").alias("p"))
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     tail = F.regexp_replace(F.substring_index(F.url_decode(F.replace("p", F.lit("+"), F.lit("%2B"))), base, -1), "^/+", "")
     own = files.withColumn("tail", tail).where(F.contains("tail", F.lit("/")))
@@ -53,7 +53,7 @@ def read_sentences(spark: SparkSession, root: str) -> DataFrame:
 
 def read_period_counts(spark: SparkSession, path: str) -> DataFrame:
     """``{period: {slot: count}}`` as (period, slot, count)."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     outer = whole.select(F.explode(F.from_json("value", "map<string,map<string,bigint>>")).alias("period", "m"))
     return outer.select("period", F.explode("m").alias("slot", "count"))
 
