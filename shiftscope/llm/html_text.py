@@ -50,9 +50,11 @@ CUT_WORDS = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs crumbs footer foot header masthead sidebar side rail aside widget widgets ad ads adv advert adverts advertisement "
     "advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "subscribe subscription newsletter signup login share sharing social comment comments commentlist disqus reply replies respond discussion "
-    "related recommended recommendations pagination pager paging toolbar search form skip hidden copyright legal disclaimer outbrain taboola teaser tags meta byline".split()
+    "related recommended recommendations pagination pager paging toolbar search form skip hidden copyright legal disclaimer outbrain taboola teaser".split()
 )
-KEEP_WORDS = set("article content entry main post story text body page column".split())
+KEEP_WORDS = set("article content entry main post story text body".split())
+#: Words that cut nothing where a word of the content stands beside them.
+SOFT_WORDS = set("header head foot share sharing social promo legal form search side rail widget hidden skip notes banner login signup".split())
 CONTENT = {"article", "main"}
 PARAGRAPH = set("p pre td blockquote dd li div section".split())
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -95,7 +97,11 @@ def _cuts(node: Node) -> bool:
         while up and up.tag not in CONTENT:
             up = up.parent
         return up is None
-    return node.tag not in HEADING and bool(node.words & CUT_WORDS) and not (node.words & KEEP_WORDS and not node.words & {"comment", "comments", "sidebar", "footer", "related", "ad", "ads", "nav", "menu"})
+    found = node.words & CUT_WORDS
+    if not found or node.tag in HEADING:
+        return False
+    # "entry-header" is part of an entry, "post-comments" and "page-header" are not
+    return bool(found - SOFT_WORDS) or not node.words & KEEP_WORDS
 
 
 def parse(page: str) -> Node:

@@ -22,6 +22,19 @@ def test_furniture_goes():
     assert main_text(page) == f"{LONG}\nSecond — {LONG}\nok."
 
 
+def test_names_of_content_and_furniture():
+    body = "".join(f"<p>{LONG} {i}</p>" for i in range(3))
+    want = "\n".join(f"{LONG} {i}" for i in range(3))
+    page = lambda inner: f"<body><div class=site><div class='post-content'>{body}</div>{inner}</div></body>"
+    for name in ("post-comments", "commentList", "page-header", "related-posts", "main-nav", "sidebar content", "article-ad", "cookieBanner", "newsletter-signup"):
+        assert main_text(page(f'<div class="{name}"><p>{LONG}</p><p>{LONG}</p></div>')) == want, name
+    assert main_text(f'<article><div class="entry-header"><h1>Title</h1></div>{body}<div class="post-meta">By A</div></article>') == f"Title\n{want}\nBy A"
+    for tag in ("nav", "aside", "footer", "form", "header"):
+        assert main_text(f"<body><main>{body}</main><{tag}><p>{LONG}</p></{tag}></body>") == want, tag
+    for attrs in ("hidden", 'role="complementary"', 'aria-hidden="true"', 'style="display: none"'):
+        assert main_text(page(f"<div {attrs}><p>{LONG}</p></div>")) == want, attrs
+
+
 def test_cut_off_page_and_nested():
     assert main_text(f"<article><p>{LONG}<p>{LONG[:30]}</article><foo") == f"{LONG}\n{LONG[:30]}"
     deep = "<div>" * 5000 + f"<p>{LONG}</p>"
