@@ -269,13 +269,15 @@ def _pairs(star: bool):
                         passing((own[:, None] + x).ravel(), (own[:, None] + y).ravel())
                     continue
                 for h in lists.tolist():
-                    if (comp[who[h : h + size]] == comp[who[h]]).all():
-                        continue
-                    for i in range(size - 1):  # sizes ascend: partners are near in the list
-                        last = np.searchsorted(n[who[h : h + size]], n[who[h + i]] * 100 // PERCENT, side="right")
-                        if last > i + 1:
-                            j = np.arange(h + i + 1, h + last)
-                            passing(np.full(len(j), h + i), j)
+                    own = np.arange(h, h + size)
+                    kinds, of, count = np.unique(comp[who[own]], return_inverse=True, return_counts=True)
+                    # pairs inside the list's largest component need no look
+                    odd = own[of != count.argmax()]
+                    for k in range(0, len(odd), max(1, 1_000_000 // size)):
+                        few = odd[k : k + max(1, 1_000_000 // size)]
+                        x, y = np.repeat(few, size), np.tile(own, len(few))
+                        near = (n[who[x]] * PERCENT <= n[who[y]] * 100) & (n[who[y]] * PERCENT <= n[who[x]] * 100)
+                        passing(x[near], y[near])
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
