@@ -61,15 +61,13 @@ def aligned(obs: DataFrame, periods=None, mode: str = "all", min_freq: int = 1,
     """(slot, period_1, period_2, o1, o2, item, a, b, na, nb, pa, pb) of the items whose mixed count reaches min_freq."""
     counts = item_counts(obs)
     pairs = period_pairs(counts, period_order(obs, periods), mode)
-    by_slot = [F.col("c.slot") == F.col("p.slot")] if mode == "data_only" else []
-
-    def side(which: str, a, b) -> DataFrame:
-        met = counts.alias("c").join(pairs.alias("p"), [F.col("c.period") == F.col(f"p.{which}"), *by_slot])
-        return met.select("c.slot", "p.period_1", "p.period_2", "p.o1", "p.o2", "c.item", a.alias("a"), b.alias("b"))
-
-    zero = F.lit(0.0)
-    both = side("period_1", F.col("c.n"), zero).unionByName(side("period_2", zero, F.col("c.n")))
-    both = both.groupBy("slot", "period_1", "period_2", "o1", "o2", "item").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= min_freq)
+    # each period's places in pairs, so that counts are read and joined once
+    place = F.explode(F.array(F.struct(F.col("period_1").alias("period"), F.lit(True).alias("first")), F.struct(F.col("period_2").alias("period"), F.lit(False).alias("first")))).alias("x")
+    sides = pairs.select(*pairs.columns, place).select(*pairs.columns, "x.period", "x.first")
+    by = ["slot", "period"] if mode == "data_only" else ["period"]
+    both = counts.join(sides, by).groupBy("slot", "period_1", "period_2", "o1", "o2", "item").agg(
+        F.sum(F.when(F.col("first"), F.col("n")).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("first"), 0.0).otherwise(F.col("n"))).alias("b")
+    ).where(F.col("a") + F.col("b") >= min_freq)
     w = Window.partitionBy("slot", "period_1", "period_2")
     both = both.withColumn("na", F.sum("a").over(w)).withColumn("nb", F.sum("b").over(w))
     if not keep_empty:

@@ -227,7 +227,7 @@ def parsed(spark, d) -> DataFrame:
 TOK = """tok AS MATERIALIZED (SELECT period, file, CAST(i AS BIGINT) AS id, CAST(i // 2 AS BIGINT) AS head, lemma, ['NOUN', 'VERB', 'ADJ', 'X'][length(lemma) % 4 + 1] AS pos, 'r' || (length(lemma) % 4) AS deprel
   FROM (SELECT lang AS period, CAST(doc_id AS VARCHAR) AS file, unnest(w) AS lemma, generate_subscripts(w, 1) AS i FROM (SELECT lang, doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents)))"""
 EDGE = ", e AS MATERIALIZED (SELECT file, head AS src, id AS dst, 'chi_' || deprel AS label FROM tok WHERE head > 0 UNION ALL SELECT file, id, head, 'pa_' || deprel FROM tok WHERE head > 0)"
-WORD = "the"
+WORD, RARE = "the", "trash"
 TGT = f", tgt AS (SELECT period, file, id FROM tok WHERE lemma = '{WORD}'), l1 AS (SELECT t.period, t.file, t.id AS target, e.dst AS n1, e.label AS a FROM tgt t JOIN e ON e.file = t.file AND e.src = t.id), l2 AS (SELECT l1.*, e.dst AS n2, e.label AS b FROM l1 JOIN e ON e.file = l1.file AND e.src = l1.n1 WHERE e.dst <> l1.target AND e.dst <> l1.n1)"
 BASE = "WITH " + TOK + EDGE + TGT
 
@@ -312,12 +312,10 @@ _add("extract_slot", SF + " SELECT period, item, count(*) AS count FROM sf WHERE
 _add("sfiller_tvd", _dist_sql(SF.removeprefix("WITH ").join(["WITH ", " SELECT period, slot, item FROM sf"]), "tvd"))(lambda s, d: _round(distance.distances(_sf(s, d), ("tvd",)), "dist"))
 
 
-@_add("contexts", f"WITH {TOK}, tgt AS (SELECT file, id AS target FROM tok WHERE lemma = '{WORD}' AND id <= 8) SELECT t.file, CAST(t.target AS VARCHAR) AS target, string_agg(CASE WHEN k.id = t.target THEN '<TAR> ' || lemma || ' <TAR>' ELSE lemma END, ' ' ORDER BY k.id) AS context FROM tgt t JOIN tok k USING (file) GROUP BY ALL")
+@_add("contexts", f"WITH {TOK}, tgt AS (SELECT file, id AS target FROM tok WHERE lemma = '{RARE}') SELECT t.file, CAST(t.target AS VARCHAR) AS target, string_agg(CASE WHEN k.id = t.target THEN '<TAR> ' || lemma || ' <TAR>' ELSE lemma END, ' ' ORDER BY k.id) AS context FROM tgt t JOIN tok k USING (file) GROUP BY ALL")
 def _contexts(s, d):
-    """Contexts of the keyword where it opens a text: its place is part of the query."""
     tokens = parsed(s, d)
-    which = graph.targets(tokens.where(F.col("id").cast("int") <= 8), WORD)
-    return observe.contexts(tokens, which).select("file", "target", "context")
+    return observe.contexts(tokens, graph.targets(tokens, RARE)).select("file", "target", "context")
 
 
 _add("feat_types", f"WITH {TOK} SELECT period, x AS slot, count(*) AS count FROM (SELECT period, unnest(CASE WHEN length(lemma) % 5 = 0 THEN ['Len', 'Init', 'Odd'] ELSE ['Len', 'Init'] END) AS x FROM tok) GROUP BY ALL")(lambda s, d: observe.feature_counts(parsed(s, d)))
@@ -348,25 +346,24 @@ _add("cluster_top_members", PTS + ", r AS (SELECT *, row_number() OVER (PARTITIO
 _add("reassignments", PTS + " SELECT x.filler, 'a' AS from_period, 'b' AS to_period, x.cluster_id AS from_cluster, y.cluster_id AS to_cluster FROM pts x JOIN pts y USING (filler) WHERE x.period = 'a' AND y.period = 'b' AND x.cluster_id <> y.cluster_id")(
     lambda s, d: cluster.reassignments(points(s, d), distance.period_order(points(s, d)))
 )
-_add("missing_vectors", PTS + " SELECT period, filler, count FROM pts x WHERE NOT EXISTS (SELECT 1 FROM pts y WHERE y.filler = x.filler AND y.period = x.period AND y.cluster_id % 3 > 0)")(
-    lambda s, d: embed.attach(points(s, d).select("period", "filler", "count"), points(s, d).where("cluster_id % 3 > 0").select("period", F.col("filler").alias("word"), F.col("vector").alias("vec")))[1].select("period", "filler", "count")
+_add("missing_vectors", PTS + " SELECT period, filler, count FROM pts x WHERE NOT EXISTS (SELECT 1 FROM pts y WHERE y.filler = x.filler AND y.period = x.period AND y.cluster_id < 6)")(
+    lambda s, d: embed.attach(points(s, d).select("period", "filler", "count"), points(s, d).where("cluster_id < 6").select("period", F.col("filler").alias("word"), F.col("vector").alias("vec")))[1].select("period", "filler", "count")
 )
-_add("attached_vectors", PTS + " SELECT period, filler, count, round(vector[1] / sqrt(list_dot_product(vector, vector)), 6) + 0.0 AS x1 FROM pts WHERE cluster_id % 3 > 0")(
-    lambda s, d: embed.nonzero(embed.attach(points(s, d).select("period", "filler", "count"), points(s, d).where("cluster_id % 3 > 0").select("period", F.col("filler").alias("word"), F.col("vector").alias("vec")))[0]).select("period", "filler", "count", (F.round(F.get(unit(F.col("vector")), 0), 6) + 0.0).alias("x1"))
+_add("attached_vectors", PTS + " SELECT period, filler, count, round(vector[1] / sqrt(list_dot_product(vector, vector)), 6) + 0.0 AS x1 FROM pts WHERE cluster_id < 6")(
+    lambda s, d: embed.nonzero(embed.attach(points(s, d).select("period", "filler", "count"), points(s, d).where("cluster_id < 6").select("period", F.col("filler").alias("word"), F.col("vector").alias("vec")))[0]).select("period", "filler", "count", (F.round(F.get(unit(F.col("vector")), 0), 6) + 0.0).alias("x1"))
 )
 _add("shared_vocabulary", PTS + " SELECT count(*) AS words FROM pts x JOIN pts y USING (filler) WHERE x.period = 'a' AND y.period = 'b'")(
     lambda s, d: points(s, d).where("period = 'a'").select("filler").join(points(s, d).where("period = 'b'").select("filler"), "filler").agg(F.count("*").alias("words"))
 )
-_top = lambda s, d, n: embed.select_fillers(points(s, d), 1, n)
-_add("agglomerative")(lambda s, d: cluster.individual(_top(s, d, 200), 0.4).drop("vector"))
-_add("incremental")(lambda s, d: cluster.incremental(_top(s, d, 200), ["a", "b"], 0.4))
-_add("pca")(lambda s, d: embed.project(_top(s, d, 1000)))
+_add("agglomerative")(lambda s, d: cluster.individual(points(s, d), 0.4).drop("vector"))
+_add("incremental")(lambda s, d: cluster.incremental(points(s, d), ["a", "b"], 0.4))
+_add("pca")(lambda s, d: embed.project(points(s, d)))
 _add("procrustes")(lambda s, d: embed.align(points(s, d).select("period", F.col("filler").alias("word"), F.col("vector").alias("vec")), ["a", "b"])[0].select("period", "word", F.get("vec", 0).alias("x1")))
 
 
 @_add("w2v")
 def _w2v(s, d):
-    """Vectors of the hundred most frequent words of each kind of event's users: short lines, whole table."""
+    """Vectors of event types, a user's events of a month in order being a sentence."""
     own = _read(s, d, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("period"), "user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_type"))), lambda x: x["event_type"]), " ").alias("line"))
     return embed.train(own, embed.Training(dim=8, window=2, min_count=5, epochs=1)).select("period", "word", F.size("vec").alias("dim"))
 

@@ -70,6 +70,32 @@ def read_numpy(spark: SparkSession, matrix: str, vocabulary: str, period: str) -
     return both.groupBy("k").applyInPandas(run, SCHEMA)
 
 
+def read_series(spark: SparkSession, root: str, periods: list[str]) -> DataFrame:
+    """The models of several periods, each the first of its candidate files that is there."""
+    names = {r.name for r in spark.read.format("binaryFile").load(root).select(F.substring_index("path", "/", -1).alias("name")).collect()}  # file names of one folder
+    out = None
+    for p in periods:
+        name = next((c.format(p=p) for c in CANDIDATES if c.format(p=p) in names), None)
+        if name is None:
+            raise FileNotFoundError(f"no word-vector file for period {p} in {root}")
+        if name.endswith((".model", ".kv")):
+            raise NotImplementedError(f"{name}: this model format needs its own library; save it as word2vec text or binary")
+        one = (read_binary if name.endswith(".bin") else read_text)(spark, f"{root.rstrip('/')}/{name}", p)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def training_lines(spark: SparkSession, root: str, lowercase: bool = False) -> DataFrame:
+    """(period, line) of one text file for each period folder; none or several files of a period are an error."""
+    raw = spark.read.text(f"{root.rstrip('/')}/*/*.txt").select("value", F.col("_metadata.file_path").alias("file"))
+    own = raw.withColumn("period", F.element_at(F.split("file", "/"), -2))
+    many = own.groupBy("period").agg(F.count_distinct("file").alias("n")).where("n <> 1").limit(1).collect()
+    if many:
+        raise ValueError(f"period {many[0].period} has {many[0].n} text files; one is needed")
+    text = F.lower("value") if lowercase else F.col("value")
+    return own.select("period", F.array_join(F.split(F.trim(text), r"\s+"), " ").alias("line")).where("line <> ''")
+
+
 def write_text(vectors: DataFrame, path: str) -> None:
     """word2vec text without a header, a part for each partition."""
     vectors.select(F.concat_ws(" ", "word", F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")).alias("value")).write.text(path)
