@@ -38,6 +38,8 @@ BUCKETS = 4096
 EVIDENCE = 64
 SMOOTH = 1.0
 MAX_STEPS, CLOSE = 60, 1e-4
+#: Steps without a relative fall of the loss by STALL after which the solver stops.
+PATIENCE, STALL = 4, 1e-3
 #: Target shares of tokens by domain.
 TARGETS = {"quality=1,toxic=0": 0.85, "quality=0,toxic=0": 0.10, "quality=1,toxic=1": 0.05}
 
@@ -160,13 +162,17 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], tot
         now = members.select("n", "p", rate.alias("r")).agg(*[F.sum(F.col("n") * F.col("r") * F.get("p", F.lit(i))).alias(f"s{i}") for i in k]).first()
         return [float(now[i]) - goal[i] for i in k]
 
-    speed, last = 1.0, math.inf
+    speed, last, best, waited = 1.0, math.inf, math.inf, 0
     for _ in range(MAX_STEPS):
         error = off(found.point(F.col("p")))
         loss = sum(e * e / x for e, x in zip(error, sizes) if x > 0)
         if loss > last:  # the momentum overshot
             speed = 1.0
         last = loss
+        # targets that no rates reach: stop where the loss no longer falls
+        best, waited = (loss, 0) if loss < (1 - STALL) * best else (best, waited + 1)
+        if waited >= PATIENCE:
+            break
         step = [error[i] / sizes[i] if sizes[i] > 0 else 0.0 for i in k]
         if max(map(abs, error)) <= CLOSE * tokens:
             break
