@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from shiftscope.llm.common import only, slices, table
 
-SLICE = 16 << 20
+SLICE = 8 << 20
 #: Splits text before the merges; a fixed value of byte-level tokenizer files. White space is Unicode's White_Space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
