@@ -1,11 +1,13 @@
 """Operator 4 - quality rules with compression bands.
 
-Every text is compressed with zstandard as a whole and in fixed chunks.  A ratio
+Every text is compressed with zstandard as a whole and in fixed chunks; where its length
+is no multiple of the chunk's, a last chunk ends at the text's end and overlaps the one
+before, and a text shorter than a chunk is one chunk with the limits of its length.  A ratio
 (bytes before / bytes after) above the upper limit of the text's length band means
 repetition, one below the lower limit means noise (keys, encoded data, random
 characters).  Limits depend on length because short inputs cannot reach the ratios of
 long ones.  The method's verdict rejects a text whose whole ratio is outside its band,
-or of whose full chunks more than ``MAX_BAD_CHUNKS`` are outside the chunk band.
+or of whose chunks more than ``MAX_BAD_CHUNKS`` are outside the chunk band.
 
 The base rules count words ``[^\\x20\\x09-\\x0D]+`` (see ``measure``); a text that fails
 them is rejected whatever its ratios.  All counts and ratios use the whole text.
@@ -29,7 +31,7 @@ from shiftscope.llm.common import only, slices, table
 
 LEVEL = 3
 CHUNK_BYTES = 2048
-#: Share of a text's full chunks that may be outside the chunk band.
+#: Share of a text's chunks that may be outside the chunk band.
 MAX_BAD_CHUNKS = 0.2
 #: (bytes from, least ratio, greatest ratio); 0 and inf: no limit at that length.
 WHOLE_BANDS = [
@@ -115,10 +117,14 @@ def _ratios(texts: list[bytes]) -> tuple[list, list, list, list]:
             continue
         ratio = size / len(press(t))
         _, low, high = WHOLE_BANDS[np.searchsorted(edges, size, side="right") - 1]
-        full = size // CHUNK_BYTES
-        bad = sum(not CHUNK_BAND[0] <= CHUNK_BYTES / len(press(t[k * CHUNK_BYTES : (k + 1) * CHUNK_BYTES])) <= CHUNK_BAND[1] for k in range(full))
-        whole.append(ratio), n_chunks.append(full), n_bad.append(bad)
-        good.append(low <= ratio <= high and bad <= MAX_BAD_CHUNKS * full)
+        inside = low <= ratio <= high
+        if size < CHUNK_BYTES:
+            starts, bad = [0], int(not inside)
+        else:
+            starts = [*range(0, size - CHUNK_BYTES, CHUNK_BYTES), size - CHUNK_BYTES]
+            bad = sum(not CHUNK_BAND[0] <= CHUNK_BYTES / len(press(t[k : k + CHUNK_BYTES])) <= CHUNK_BAND[1] for k in starts)
+        whole.append(ratio), n_chunks.append(len(starts)), n_bad.append(bad)
+        good.append(inside and bad <= MAX_BAD_CHUNKS * len(starts))
     return whole, n_chunks, n_bad, good
 
 

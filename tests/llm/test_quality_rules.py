@@ -48,6 +48,18 @@ def test_bands(spark):
     assert {r.doc_id: r.kept for r in rows} == {1: True, 2: False, 3: False}
 
 
+def test_noise_at_the_end_of_a_text(spark):
+    import base64
+    import random
+
+    rng = random.Random(2)
+    plain = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7))) for _ in range(1500))
+    noise = base64.b64encode(rng.randbytes(1500)).decode()[:1900]
+    texts = [plain[:2048] + noise, plain[:2048] + plain[:1900][::-1], plain[:4096], plain[:1000]]
+    rows = judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_chunks, r.n_bad_chunks, r.kept) for r in rows} == {0: (2, 1, False), 1: (2, 0, True), 2: (2, 0, True), 3: (1, 0, True)}
+
+
 def test_empty_table(spark):
     assert judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
