@@ -26,8 +26,6 @@ from pyspark.sql import DataFrame, SparkSession
 from shiftscope.llm.common import only, slices, table
 
 MAX_GAP = 3
-#: Most units that one known sentence may be spread over.
-MAX_LINES = 16
 
 #: Known licence sentences (fixed values: public licence texts); {n} stands for a version, {h} for a holder and year.
 SENTENCES = {
@@ -114,8 +112,8 @@ RULES = [
     ("Unlicense", ("unlicense",)),
     ("all-rights-reserved", ("reserved",)),
 ]
-#: Every known sentence has one of these.
-TRIGGERS = ("licen", "permission", "software", "redistribut", "copyright", "warrant", "rights reserved", "mozilla", "liab")
+#: Every known sentence has one of these; single words, so that white space and line ends do not matter.
+TRIGGERS = ("licen", "permission", "software", "redistribut", "copyright", "warrant", "reserved", "mozilla", "liab")
 
 _JUNK = re.compile(r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9])\.")
 _VERSION = re.compile(r"(?<![a-z0-9.])v?[0-9]+(?:\.[0-9]+)*(?![a-z0-9])")
@@ -152,26 +150,27 @@ def sentences(text: str) -> list[tuple[int, int, str, str]]:
     plain = [normalise(u) for u in units]
     found, i = [], 0
     while i < len(units):
+        start = i  # empty units before a sentence go with it
+        while start < len(units) and not plain[start]:
+            start += 1
         best = None
         joined = ""
-        for k in range(MAX_LINES):
-            if i + k >= len(units):
-                break
-            joined = f"{joined} {plain[i + k]}".strip()
+        for k in range(start, len(units)):
+            joined = f"{joined} {plain[k]}".strip()
             key = _VERSION.sub("#", joined)
             words = key.split(" ")
             if len(words) > 1 and words[0] == "#":  # a list number
                 key = " ".join(words[1:])
             if key in known:
                 version = _VERSION.search(joined)
-                best = (i, k + 1, known[key], version[0].removeprefix("v") if version else "")
-            if joined and key not in heads:
+                best = (i, k + 1 - i, known[key], version[0].removeprefix("v") if version else "")
+            if key not in heads:
                 break
         if best:
             found.append(best)
             i += best[1]
         else:
-            i += 1
+            i = start + 1
     return found
 
 

@@ -35,6 +35,21 @@ def test_every_sentence_is_found_and_triggered():
         assert any(t in text.lower() for t in ls.TRIGGERS), name
 
 
+def test_triggers_are_single_words():
+    assert all(len(t.split()) == 1 for t in ls.TRIGGERS)
+
+
+def test_white_space_and_many_lines(spark):
+    texts = ["All rights\nreserved.", "All rights  reserved.", "All rights\treserved.", "All rights\u00a0reserved.", "all\n\nrights\r\nreserved."]
+    grant = "\n\n".join(textwrap.wrap(whole("mit-grant"), 50))
+    assert grant.count("\n") + 1 > 16
+    docs = spark.createDataFrame([*enumerate(texts), (9, grant)], "doc_id long, text string")
+    want = {i: ["all-rights-reserved"] for i in range(len(texts))} | {9: ["MIT"]}
+    assert {r.doc_id: r.licenses for r in ls.scan(docs).collect()} == want
+    assert names(whole("mit-grant").replace(" ", "\n\n\n")) == ["MIT"]
+    assert names("\n" * 200_000 + "All rights reserved." + "\n" * 200_000) == ["all-rights-reserved"]
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     line = {r"Licensed under CC BY-NC ([\d.]+)\.": "CC-BY-NC-", r"This work is licensed under the GNU General Public License, version ([\d.]+)\.": "GPL-", r"Licensed under the Apache License, Version ([\d.]+)\.": "Apache-", r"Released under the MIT License(())\.": "MIT", r"All rights reserved(())\.": "all-rights-reserved"}
