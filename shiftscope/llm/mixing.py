@@ -4,12 +4,17 @@
    multinomial naive Bayes over ``BUCKETS`` hashed words.  The domains are the classes of
    the label columns.  Each document gets a posterior over domains; the evidence of long
    texts is scaled to that of ``EVIDENCE`` words, so that membership stays soft.
-2. Projected gradient descent finds a rate r_d >= ``least`` for every document, such that
-   the expected tokens of each domain, sum_d r_d n_d p_dk, come as near as they can, in
-   least squares relative to the domain's tokens S_k, to the target T_k.  In the metric
-   n_d the step is r_d <- max(least, y_d - sum_k p_dk e_k / S_k), whose Lipschitz constant
-   is 1, with Nesterov's momentum from r_d to y_d.  Each iteration is one aggregation to a sum per domain over the narrow table of
-   memberships; rates are a function of the few residuals so far, so no rates are moved.
+2. A rate r_d >= ``least`` is found for every document, such that the expected tokens of
+   each domain, sum_d r_d n_d p_dk, come as near as they can, in least squares relative to
+   the domain's tokens S_k, to the target T_k.  First the nearest point to the targets that
+   any rates reach is found (``_nearest``): expected tokens are least S plus a point of the
+   cone of the posteriors, onto which the targets are projected; a pass over the documents
+   gives the posterior that a better point needs most, and the duality gap ends the search.
+   Then Newton's method finds the rates nearest to 1 (in the metric n_d) that reach this
+   point (``_multipliers``): r_d = max(least, 1 + sum_k p_dk mu_k), one number mu_k a domain.
+   Each pass is one aggregation to a few sums a domain over the narrow table of memberships;
+   no rates are moved.  Expected tokens end within ``CLOSE`` of all tokens of the nearest
+   point; where that misses the targets by more, ``solve`` warns, and ``Rates.missed`` tells.
 3. A rate becomes copies: its whole part, and one more with the fraction as chance, by a
    hash of the id and a seed.
 
@@ -25,8 +30,11 @@ empty table gives an empty result; extra columns are ignored, ``resample`` keeps
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +45,8 @@ MAX_TRAIN = 50_000
 BUCKETS = 4096
 EVIDENCE = 64
 SMOOTH = 1.0
-MAX_STEPS, CLOSE = 60, 1e-4
-#: Steps without a relative fall of the loss by STALL after which the solver stops.
-PATIENCE, STALL = 4, 1e-3
+#: Distance from the best expected tokens, as a share of all tokens, that ends the solver.
+CLOSE = 1e-4
 #: Target shares of tokens by domain.
 TARGETS = {"quality=1,toxic=0": 0.85, "quality=0,toxic=0": 0.10, "quality=1,toxic=1": 0.05}
 
@@ -103,42 +110,116 @@ def fit(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("qual
     return Classifier(domains, [math.log(sizes[d] / total) for d in domains], odds)
 
 
+def _dot(posterior: Column, weights: list[float]) -> Column:
+    held = F.expr(f"array({','.join(f'{float(x)!r}D' for x in weights)})")
+    return F.aggregate(F.zip_with(posterior, held, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
+
+
 @dataclass
 class Rates:
-    """The steps that lead from rate 1 to a document's rate."""
+    """A document's rate from its posterior: max(least, start + sum_k p_k mu_k)."""
 
     domains: list[str]
     least: float
-    steps: list[dict]
+    mu: list[float]
     expected: dict[str, float]
     target: dict[str, float]
 
-    def _fold(self, posterior: Column) -> Column:
-        """(rate, point of the next gradient) of a document with this posterior, through all steps."""
-        start = F.greatest(F.lit(1.0), F.lit(float(self.least)))
-        state = F.struct(start.alias("r"), start.alias("y"))
-        if not self.steps:
-            return state
-        shown = (f"named_struct('g', array({','.join(f'{x!r}D' for x in s['g'])}), 'b', {s['b']!r}D)" for s in self.steps)
-        held = F.expr(f"array({','.join(shown)})")
-        dot = lambda g: F.aggregate(F.zip_with(posterior, g, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-
-        def step(a: Column, s: Column) -> Column:
-            r = F.greatest(F.lit(float(self.least)), a["y"] - dot(s["g"]))
-            return F.struct(r.alias("r"), (r + s["b"] * (r - a["r"])).alias("y"))
-
-        return F.aggregate(held, state, step)
-
     def rate(self, posterior: Column) -> Column:
         """The rate of a document with this posterior."""
-        return self._fold(posterior)["r"]
+        return F.greatest(F.lit(float(self.least)), F.lit(max(1.0, float(self.least))) + _dot(posterior, self.mu))
+
+    @property
+    def missed(self) -> dict[str, float]:
+        """Expected less target tokens of each domain."""
+        return {d: self.expected[d] - self.target[d] for d in self.domains}
+
+
+def _nonnegative(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least squares a w = b with w >= 0 (Lawson and Hanson)."""
+    w, on = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    while True:
+        grad = a.T @ (b - a @ w)
+        grad[on] = -np.inf
+        if on.all() or grad.max() <= 1e-13 * np.linalg.norm(b):
+            return w
+        on[grad.argmax()] = True
+        newest = int(grad.argmax())
+        while True:
+            z = np.zeros(len(w))
+            z[on] = np.linalg.lstsq(a[:, on], b, rcond=None)[0]
+            if z[newest] <= 0 and w[newest] == 0:  # rounding: no way down
+                return w
+            if (z[on] > 0).all():
+                break
+            out = on & (z <= 0)
+            t = (w[out] / (w[out] - z[out])).min()
+            w = np.where(on, w + t * (z - w), 0.0)
+            on &= w > 1e-15 * w.max()
+            w[~on] = 0.0
+        w = z
+
+
+def _nearest(sizes: np.ndarray, goal: np.ndarray, least: float, worst: Callable[[np.ndarray], tuple[float, np.ndarray]]) -> np.ndarray:
+    """The expected tokens nearest to the goal that rates >= least reach.
+
+    ``worst(x)``: the least p.x of all documents with tokens, and its p.
+    """
+    tokens, root = sizes.sum(), np.sqrt(sizes)
+    excess = goal - least * sizes
+    near, points = CLOSE / 4 * tokens, np.zeros((len(sizes), 0))
+    reached = np.zeros(len(sizes))
+    while np.abs(reached - excess).max() > near:
+        slope = (reached - excess) / sizes
+        low, point = worst(slope)
+        low = max(0.0, -low)
+        # a bound of the loss above the least; as the loss is strongly convex, of the distance too
+        if low * reached.sum() + low * low * tokens / 2 <= near * near / (2 * sizes.max()):
+            break
+        points = np.column_stack([points, point])
+        w = _nonnegative(points / root[:, None], excess / root)
+        better = points @ w
+        if ((better - excess) ** 2 / sizes).sum() >= ((reached - excess) ** 2 / sizes).sum() * (1 - 1e-12):  # rounding
+            break
+        reached, points = better, points[:, w > 0]
+    return reached + least * sizes
+
 
-    def point(self, posterior: Column) -> Column:
-        return self._fold(posterior)["y"]
+def _multipliers(sizes: np.ndarray, reach: np.ndarray, sums: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """mu of the rates nearest to 1 that reach these expected tokens.
+
+    ``sums(mu)``: the sums over documents of n times the integral of the rate over p.mu, of
+    expected tokens, and of n p p' where the rate is above the least.  The dual is convex; it
+    is solved with a penalty whose weight grows until the tokens are reached.
+    """
+    near = CLOSE / 2 * sizes.sum()
+    mu, weight = np.zeros(len(sizes)), 100.0
+    value, tokens, curve = sums(mu)
+    while np.abs(tokens - reach).max() > near:
+        slope = tokens - reach + sizes * mu / weight
+        if np.abs(slope).max() <= near / 2:
+            weight *= 100
+            if weight > 1e16:  # rounding; the caller compares
+                return mu
+            continue
+        step = -np.linalg.solve(curve + np.diag(sizes / weight), slope)
+        now, length = value - reach @ mu + (sizes * mu * mu).sum() / weight / 2, 1.0
+        while True:
+            to = mu + length * step
+            value, tokens, curve = sums(to)
+            if value - reach @ to + (sizes * to * to).sum() / weight / 2 <= now + 1e-4 * length * (slope @ step) + 1e-13 * abs(now):
+                break
+            length /= 2
+            if length < 1e-12:
+                return mu
+        mu = to
+    # a step without the penalty, mostly exact
+    to = mu - np.linalg.lstsq(curve, tokens - reach, rcond=1e-9)[0]
+    return to if np.abs(sums(to)[1] - reach).max() < np.abs(tokens - reach).max() else mu
 
 
 def solve(members: DataFrame, domains: list[str], targets: dict[str, float], total: float | str = 1.0, least: float = 0.0) -> Rates:
-    """Projected-gradient least squares over (n, p) rows.
+    """Least squares over (n, p) rows.
 
     ``total``: expected tokens as a multiple of those at hand, or "cover": the least
     multiple at which no domain has to shrink.
@@ -153,33 +234,45 @@ def solve(members: DataFrame, domains: list[str], targets: dict[str, float], tot
     share = [w / sum(weight) for w in weight]
     scale = max([sizes[i] / (tokens * share[i]) for i in k if share[i] > 0], default=1.0) if total == "cover" and tokens else 1.0 if total == "cover" else float(total)
     goal = [scale * tokens * x for x in share]
-    found = Rates(list(domains), least, [], dict(zip(domains, sizes)), dict(zip(domains, goal)))
+    found = Rates(list(domains), least, [0.0] * len(domains), dict(zip(domains, sizes)), dict(zip(domains, goal)))
     if not tokens:
         return found
-
-    def off(rate: Column) -> list[float]:
-        """Expected less target tokens of each domain: one aggregation."""
-        now = members.select("n", "p", rate.alias("r")).agg(*[F.sum(F.col("n") * F.col("r") * F.get("p", F.lit(i))).alias(f"s{i}") for i in k]).first()
-        return [float(now[i]) - goal[i] for i in k]
-
-    speed, last, best, waited = 1.0, math.inf, math.inf, 0
-    for _ in range(MAX_STEPS):
-        error = off(found.point(F.col("p")))
-        loss = sum(e * e / x for e, x in zip(error, sizes) if x > 0)
-        if loss > last:  # the momentum overshot
-            speed = 1.0
-        last = loss
-        # targets that no rates reach: stop where the loss no longer falls
-        best, waited = (loss, 0) if loss < (1 - STALL) * best else (best, waited + 1)
-        if waited >= PATIENCE:
-            break
-        step = [error[i] / sizes[i] if sizes[i] > 0 else 0.0 for i in k]
-        if max(map(abs, error)) <= CLOSE * tokens:
-            break
-        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
-        found.steps.append({"g": step, "b": (speed - 1) / faster})
-        speed = faster
-    found.expected = dict(zip(domains, (x + g for x, g in zip(off(found.rate(F.col("p"))), goal))))
+    held = [i for i in k if sizes[i] > 0]  # a domain without tokens gets none
+    start, own = max(1.0, float(least)), members.where("n > 0")
+
+    def spread(x: np.ndarray) -> list[float]:
+        out = [0.0] * len(domains)
+        for i, v in zip(held, x.tolist()):
+            out[i] = v
+        return out
+
+    def worst(x: np.ndarray) -> tuple[float, np.ndarray]:
+        row = own.select("p", _dot(F.col("p"), spread(x)).alias("x")).agg(F.min("x").alias("x"), F.min_by("p", "x").alias("p")).first()
+        return float(row.x), np.array(row.p)[held]
+
+    def sums(mu: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        n, x = F.col("n"), F.col("x")
+        over = x > least - start
+        area = F.when(over, start * x + x * x / 2).otherwise(least * x - (start - least) ** 2 / 2)
+        narrow = own.select("n", _dot(F.col("p"), spread(mu)).alias("x"), *[F.get("p", F.lit(i)).alias(f"p{i}") for i in held])
+        pairs = [(i, j) for i in held for j in held if i <= j]
+        row = narrow.agg(
+            F.sum(n * area), *[F.sum(n * F.greatest(F.lit(float(least)), start + x) * F.col(f"p{i}")) for i in held],
+            *[F.sum(F.when(over, n * F.col(f"p{i}") * F.col(f"p{j}")).otherwise(0.0)) for i, j in pairs],
+        ).first()
+        curve = np.zeros((len(held), len(held)))
+        for (i, j), v in zip(pairs, row[1 + len(held) :]):
+            curve[held.index(i), held.index(j)] = curve[held.index(j), held.index(i)] = v
+        return float(row[0]), np.array(row[1 : 1 + len(held)], float), curve
+
+    size = np.array(sizes)[held]
+    reach = _nearest(size, np.array(goal)[held], float(least), worst)
+    found.mu = spread(_multipliers(size, reach, sums))
+    last = members.select("n", "p", found.rate(F.col("p")).alias("r")).agg(*[F.sum(F.col("n") * F.col("r") * F.get("p", F.lit(i))) for i in k]).first()
+    found.expected = dict(zip(domains, map(float, last)))
+    if max(map(abs, found.missed.values())) > CLOSE * tokens:
+        nearest = dict(zip(domains, spread(reach)))
+        warnings.warn(f"mixing misses its targets: expected {found.expected}, nearest that rates >= {least} reach {nearest}, target {found.target}", stacklevel=2)
     return found
 
 

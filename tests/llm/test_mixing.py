@@ -34,6 +34,32 @@ def test_solver_matches_brute_force(spark, least, total):
         assert np.allclose((n * rates) @ p, goal, atol=2e-4 * n.sum())
 
 
+@pytest.mark.filterwarnings("error::UserWarning")
+def test_weak_posteriors_reach_their_targets(spark):
+    rng = np.random.default_rng(11)
+    p = rng.dirichlet([14.0, 14.0, 14.0], 3000)
+    n = rng.integers(1, 900, 3000).astype(float)
+    df = spark.createDataFrame([(float(a), b.tolist()) for a, b in zip(n, p)], "n double, p array<double>").cache()
+    share = np.array([0.55, 0.27, 0.18])
+    got = mx.solve(df, ["a", "b", "c"], dict(zip("abc", share)))
+    rates = np.array([r.x for r in df.select(got.rate(F.col("p")).alias("x")).collect()])
+    assert (rates >= 0).all()
+    assert np.abs((n * rates) @ p / n.sum() - share).max() <= mx.CLOSE
+    assert max(map(abs, got.missed.values())) <= mx.CLOSE * n.sum()
+
+
+def test_targets_out_of_reach_are_told(spark):
+    p, n = [[0.7, 0.3], [0.4, 0.6], [0.5, 0.5]], [10.0, 20.0, 5.0]
+    df = spark.createDataFrame(list(zip(n, p)), "n double, p array<double>")
+    with pytest.warns(UserWarning, match="misses its targets"):
+        got = mx.solve(df, ["a", "b"], {"a": 0.9, "b": 0.1})
+    size = np.array(n) @ np.array(p)
+    # only the first posterior counts: least squares of one number
+    x = (0.7 * 31.5 / size[0] + 0.3 * 3.5 / size[1]) / (0.49 / size[0] + 0.09 / size[1])
+    assert np.allclose([got.expected[d] for d in "ab"], [0.7 * x, 0.3 * x], atol=1e-4 * sum(n))
+    assert np.allclose([got.missed[d] for d in "ab"], [0.7 * x - 31.5, 0.3 * x - 3.5], atol=1e-4 * sum(n))
+
+
 def test_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = mx.mix(docs, labels).toPandas()
