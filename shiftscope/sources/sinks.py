@@ -17,7 +17,8 @@ def period_json(counts: DataFrame) -> DataFrame:
 
 
 def combos_csv(combos: DataFrame, width: int = 5) -> DataFrame:
-    """The columns of the &-separated table in its order."""
+    """The columns of the &-separated table in its order; ``width`` slots, or as many as the largest combination has."""
+    width = max(width, combos.agg(F.max(F.size("slots"))).first()[0] or 0)
     cells = [F.coalesce(F.get("slots", i), F.lit("")).alias(f"slot{i + 1}") for i in range(width)]
     return combos.orderBy("period", F.desc("frequency"), "target", "slots").select(F.col("period").alias("subfolder"), "frequency", "target", *cells)
 

@@ -51,6 +51,14 @@ def test_json_and_csv(spark, tmp_path):
     assert sorted(tuple(r.item) for r in corpus.read_fillers(spark, str(tmp_path / "f.csv")).collect()) == [("a", "b"), ("c",)]
 
 
+def test_combos_of_any_size(spark, tmp_path):
+    slots = [f"> s{i}" for i in range(7)]
+    combos = spark.createDataFrame([("p", "t", slots, 2), ("p", "t", slots[:5], 3), ("p", "t", slots[:6], 1), ("q", "t", [], 4)], "period string, target string, slots array<string>, frequency long")
+    sinks.write_combos(combos, str(tmp_path / "out"))
+    assert sorted(map(str, corpus.read_combos(spark, str(tmp_path / "out")).collect())) == sorted(map(str, combos.collect()))
+    assert len(sinks.combos_csv(combos.limit(0)).columns) == 3 + 5
+
+
 def test_cells():
     assert parse_cell("[('on',), ('in',)]") == [["on"], ["in"]]
     assert parse_cell('["legacy","flat"]') == [["legacy"], ["flat"]]
