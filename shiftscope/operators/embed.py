@@ -14,7 +14,11 @@ from shiftscope.functions.text import unit
 
 @dataclass(frozen=True)
 class Training:
-    """Parameters of skip-gram (sg) or CBOW training with negative sampling."""
+    """Parameters of skip-gram (sg) or CBOW training with negative sampling.
+
+    ``sample``: threshold of the random downsampling of frequent words, as a share of the
+    period's words (the reference's default is 1e-5); 0 keeps every word.
+    """
 
     dim: int = 100
     window: int = 5
@@ -23,6 +27,7 @@ class Training:
     sg: bool = True
     negative: int = 5
     ns_exponent: float = 0.75
+    sample: float = 0.0
     epochs: int = 5
     alpha: float = 0.025
     min_alpha: float = 0.0001
@@ -33,6 +38,8 @@ class Training:
             raise ValueError("dim, window, min_count, epochs and negative must be positive")
         if self.max_vocab is not None and self.max_vocab < 1:
             raise ValueError("max_vocab must be positive")
+        if not 0 <= self.sample < 1:
+            raise ValueError("0 <= sample < 1")
         if not 0 < self.min_alpha <= self.alpha:
             raise ValueError("0 < min_alpha <= alpha")
 
@@ -50,6 +57,12 @@ def shuffled(lines: DataFrame, seed: int = 1) -> DataFrame:
     return lines.orderBy(F.xxhash64(F.lit(seed), "line"), "line")
 
 
+def keep_chance(count: np.ndarray, sample: float) -> np.ndarray:
+    """word2vec's chance that an occurrence of a word with this count is kept."""
+    share = sample * count.sum() / count
+    return np.minimum(1.0, np.sqrt(share) + share) if sample else np.ones(len(count))
+
+
 def train(lines: DataFrame, how: Training = Training()) -> DataFrame:
     """(period, word, vec): one model a period, each trained in its own task, as a sequential process must be."""
 
@@ -67,12 +80,15 @@ def train(lines: DataFrame, how: Training = Training()) -> DataFrame:
         noise = np.array([count[w] for w in vocab], float) ** how.ns_exponent
         noise = np.cumsum(noise / noise.sum())
         ids = [np.array([index[w] for w in s if w in index]) for s in sents]
+        chance = keep_chance(np.array([count[w] for w in vocab], float), how.sample)
         total, done = max(1, how.epochs * sum(map(len, ids))), 0
         for _ in range(how.epochs):
             for k in rng.permutation(len(ids)):
                 s = ids[k]
                 rate = max(how.min_alpha, how.alpha * (1 - done / total))
                 done += len(s)
+                if how.sample and len(s):
+                    s = s[rng.random(len(s)) < chance[s]]
                 for i, c in enumerate(s):
                     reach = rng.integers(1, how.window + 1)
                     near = np.concatenate([s[max(0, i - reach) : i], s[i + 1 : i + 1 + reach]])

@@ -365,7 +365,7 @@ _add("procrustes")(lambda s, d: embed.align(points(s, d).select("period", F.col(
 def _w2v(s, d):
     """Vectors of event types, a user's events of a month in order being a sentence."""
     own = _read(s, d, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("period"), "user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_type"))), lambda x: x["event_type"]), " ").alias("line"))
-    return embed.train(own, embed.Training(dim=8, window=2, min_count=5, epochs=1)).select("period", "word", F.size("vec").alias("dim"))
+    return embed.train(own, embed.Training(dim=8, window=2, min_count=5, epochs=1)).select("period", "word", F.size("vec").alias("dim"), "vec")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,17 @@ def test_training_learns_neighbours(spark):
     assert embed.top_vocabulary(words, 1, 3).count() == 3
 
 
+def test_frequent_words_are_sampled(spark):
+    assert np.allclose(embed.keep_chance(np.array([90.0, 10.0]), 0.1), [np.sqrt(1 / 9) + 1 / 9, 1.0])
+    assert (embed.keep_chance(np.array([90.0, 10.0]), 0.0) == 1).all()
+    df = spark.createDataFrame([("p", "the cat the dog the cat")] * 20, "period string, line string")
+    vec = lambda x: {r.word: r.vec for r in embed.train(df, embed.Training(dim=4, min_count=1, sample=x)).collect()}
+    whole, some = vec(0.0), vec(1e-3)
+    assert set(whole) == set(some) == {"the", "cat", "dog"} and whole["the"] != some["the"] and some == vec(1e-3)
+    with pytest.raises(ValueError):
+        embed.Training(sample=-1.0)
+
+
 def test_fillers(points):
     counts = points.select("period", "filler", "count")
     assert {r.filler for r in embed.select_fillers(counts, 7, 2, ["a"]).collect()} == {"w06", "w13"}
