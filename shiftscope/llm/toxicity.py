@@ -100,8 +100,8 @@ def log_odds(counts: DataFrame) -> DataFrame:
     return full.filter((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_DELTA)).orderBy(F.abs("z").desc(), "h").limit(MAX_TOKENS)
 
 
-def token_scores(model: Model, keys: list[np.ndarray], which: np.ndarray) -> np.ndarray:
-    """Log-odds less the drift of each word; a word right after itself is no new evidence."""
+def token_scores(model: Model, keys: list[np.ndarray], which: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log-odds less the drift of each word; a word right after itself in its row is no new evidence."""
     score, sure = np.zeros(len(keys[0])), np.zeros(len(keys[0]))
     if len(model.hashes):
         for h in keys:
@@ -109,7 +109,10 @@ def token_scores(model: Model, keys: list[np.ndarray], which: np.ndarray) -> np.
             hit = np.flatnonzero((model.hashes[at] == h) & (model.sure[at] > sure))
             score[hit], sure[hit] = model.scores[at[hit]], model.sure[at[hit]]
     score = score[which]
-    score[1:][which[1:] == which[:-1]] = 0.0
+    again = np.zeros(len(which), bool)
+    again[1:] = which[1:] == which[:-1]
+    again[first[:-1][np.diff(first) > 0]] = False  # a row's first word
+    score[again] = 0.0
     return np.clip(score, -CLIP, CLIP) - DRIFT
 
 
@@ -153,7 +156,7 @@ def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 def _features(model: Model, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
     """(words, -ln E of the best segment or 0, sum over significant segments, segments)."""
     keys, which, first = tokens(part)
-    score = token_scores(model, keys, which)
+    score = token_scores(model, keys, which, first)
     n_words = np.diff(first)
     top = best_segment(score, first)
     with np.errstate(divide="ignore"):
@@ -185,8 +188,8 @@ def _lambda(score: np.ndarray) -> float:
 def _histogram(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            keys, which, _ = tokens(part)
-            s, n = np.unique(np.round(token_scores(model, keys, which) * 64).astype(np.int64), return_counts=True)
+            keys, which, first = tokens(part)
+            s, n = np.unique(np.round(token_scores(model, keys, which, first) * 64).astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_pydict({"bin": s, "n": n})
 
     return run
@@ -196,7 +199,7 @@ def _peaks(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             keys, which, first = tokens(part)
-            top = best_segment(token_scores(model, keys, which), first)
+            top = best_segment(token_scores(model, keys, which, first), first)
             n = np.diff(first)
             yield pa.RecordBatch.from_pydict({"v": np.maximum(n, 1) * np.exp(-model.lam * top)})
 

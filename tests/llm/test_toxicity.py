@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from shiftscope.llm import toxicity as tx
 
@@ -33,6 +34,14 @@ def test_best_segment():
     assert all(w is None or abs(g - w) < 1e-9 for g, w in zip(got, want))
 
 
+def test_equal_rows_side_by_side_score_alike():
+    part = pa.RecordBatch.from_pydict({"text": ["", "bad", "bad", "", "ok bad", "bad bad", ""]})
+    keys, which, first = tx.tokens(part)
+    word = tx.tokens(pa.RecordBatch.from_pydict({"text": ["bad"]}))[0][0]
+    model = tx.Model(word, np.array([5.0]), np.array([4.0]))
+    assert (tx.token_scores(model, keys, which, first) + tx.DRIFT).tolist() == [5.0, 5.0, 0.0, 5.0, 5.0, 0.0]
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = tx.fit(docs, labels)
