@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from shiftscope.llm import textkernel as tk
 from shiftscope.llm.common import durable, only, slices, table
 
-#: Bound of the labelled sample that the model is fitted on, and of the token table that is broadcast.
-MAX_TRAIN, MAX_TOKENS = 50_000, 100_000
+#: Bound of the labelled sample that the model is fitted on, and so of the token table that is broadcast.
+MAX_TRAIN = 50_000
 PREFIXES = (7, 5, 4, 3)
 PRIOR_TOKENS = 2_000.0
 MIN_COUNT, MIN_Z, MIN_DELTA = 3, 2.5, 1.0
@@ -54,7 +54,7 @@ _SEGMENTS = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int
 
 @dataclass(frozen=True)
 class Model:
-    """All that the scan needs; sizes are bounded by MAX_TOKENS."""
+    """All that the scan needs; sizes are bounded by the words of MAX_TRAIN rows."""
 
     hashes: np.ndarray  # sorted uint64
     scores: np.ndarray
@@ -90,14 +90,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_odds(counts: DataFrame) -> DataFrame:
-    """(h, delta, z) of the tokens whose log-odds differ from 0, at most MAX_TOKENS, those with the largest z first."""
+    """(h, delta, z) of the tokens whose log-odds differ from 0."""
     n = counts.agg(F.sum("toxic").alias("n1"), F.sum("clean").alias("n0"))
     a = F.lit(PRIOR_TOKENS) * (F.col("toxic") + F.col("clean")) / (F.col("n1") + F.col("n0"))
     y1, y0 = F.col("toxic") + a, F.col("clean") + a
     delta = F.log(y1 / (F.col("n1") + PRIOR_TOKENS - y1)) - F.log(y0 / (F.col("n0") + PRIOR_TOKENS - y0))
     z = delta / F.sqrt(1 / y1 + 1 / y0)
     full = counts.filter(F.col("toxic") + F.col("clean") >= MIN_COUNT).crossJoin(F.broadcast(n)).select("h", delta.alias("delta"), z.alias("z"))
-    return full.filter((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_DELTA)).orderBy(F.abs("z").desc(), "h").limit(MAX_TOKENS)
+    return full.filter((F.abs("z") >= MIN_Z) & (F.abs("delta") >= MIN_DELTA))
 
 
 def token_scores(model: Model, keys: list[np.ndarray], which: np.ndarray, first: np.ndarray) -> np.ndarray:

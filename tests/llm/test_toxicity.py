@@ -42,6 +42,12 @@ def test_equal_rows_side_by_side_score_alike():
     assert (tx.token_scores(model, keys, which, first) + tx.DRIFT).tolist() == [5.0, 5.0, 0.0, 5.0, 5.0, 0.0]
 
 
+def test_every_significant_token_is_kept(spark):
+    n = 120_000
+    counts = spark.range(n).select(F.col("id").alias("h"), F.when(F.col("id") % 2 == 0, 200).otherwise(20).cast("long").alias("toxic"), F.when(F.col("id") % 2 == 0, 20).otherwise(200).cast("long").alias("clean"))
+    assert tx.log_odds(counts).count() == n
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = tx.fit(docs, labels)
