@@ -41,6 +41,8 @@ PRIOR_TOKENS = 2_000.0
 MIN_COUNT, MIN_Z, MIN_DELTA = 3, 2.5, 1.0
 DRIFT = 0.5
 CLIP = 8.0
+#: Token scores are whole multiples of 1 / UNIT, so that sums are exact in any order and batch.
+UNIT = 65536.0
 MAX_E = 0.05
 
 _PUNCT = np.zeros(256, dtype=bool)
@@ -113,7 +115,7 @@ def token_scores(model: Model, keys: list[np.ndarray], which: np.ndarray, first:
     again[1:] = which[1:] == which[:-1]
     again[first[:-1][np.diff(first) > 0]] = False  # a row's first word
     score[again] = 0.0
-    return np.clip(score, -CLIP, CLIP) - DRIFT
+    return np.rint((np.clip(score, -CLIP, CLIP) - DRIFT) * UNIT) / UNIT
 
 
 def best_segment(score: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -122,35 +124,45 @@ def best_segment(score: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.zeros(len(n_words))
     if len(score) == 0:
         return out
-    total = np.cumsum(score)
-    before = total - score
+    whole = np.rint(score * UNIT)
+    exact = bool((whole == score * UNIT).all())
+    own = whole.astype(np.int64) if exact else score
+    total = np.cumsum(own)
+    before = total - own
     # a step down at each row's start keeps the running minimum inside the row
     row = np.repeat(np.arange(len(n_words)), n_words)
-    gap = float(np.abs(score).sum() + 1.0)
+    gap = np.abs(own).sum() + 1
     low = np.minimum.accumulate(before - row * gap) + row * gap
     run = total - low
     full = np.flatnonzero(n_words)
-    out[full] = np.maximum(np.maximum.reduceat(run, first[full]), 0.0)
-    return out
+    out[full] = np.maximum(np.maximum.reduceat(run, first[full]), 0)
+    return out / UNIT if exact else out
 
 
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first token, last token, sum) in one pass over the tokens."""
-    found: list[list] = []  # [left sum, right sum, first, last]
+    """All maximal-scoring segments (first token, last token, sum) in one pass over the tokens.
+
+    Each segment on the list knows the nearest one before it whose left sum is smaller, so a
+    step that passes over others never meets them again and the pass is linear.
+    """
+    left: list = []
+    right: list = []
+    start: list[int] = []
+    stop: list[int] = []
+    lower: list[int] = []
+    total = np.concatenate([[0], np.cumsum(score)])
     up = np.flatnonzero(score > 0)
-    total = np.concatenate([[0.0], np.cumsum(score)])
-    for i in up.tolist():
-        own = [total[i], total[i + 1], i, i]
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][0] >= own[0]:
-                j -= 1
-            if j < 0 or found[j][1] >= own[1]:
-                break
-            own = [found[j][0], own[1], found[j][2], own[3]]
-            del found[j:]
-        found.append(own)
-    return [(a, b, float(r - l)) for l, r, a, b in found]
+    for i, low, high in zip(up.tolist(), total[up].tolist(), total[up + 1].tolist()):
+        begin = i
+        j = len(left) - 1
+        while j >= 0 and left[j] >= low:
+            j = lower[j]
+        while j >= 0 and right[j] < high:
+            low, begin, before = left[j], start[j], lower[j]
+            del left[j:], right[j:], start[j:], stop[j:], lower[j:]
+            j = before
+        left.append(low), right.append(high), start.append(begin), stop.append(i), lower.append(j)
+    return [(a, b, float(r - l)) for l, r, a, b in zip(left, right, start, stop)]
 
 
 def _features(model: Model, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
@@ -201,7 +213,7 @@ def _peaks(model: Model):
             keys, which, first = tokens(part)
             top = best_segment(token_scores(model, keys, which, first), first)
             n = np.diff(first)
-            yield pa.RecordBatch.from_pydict({"v": np.maximum(n, 1) * np.exp(-model.lam * top)})
+            yield pa.RecordBatch.from_pydict({"v": np.rint(np.maximum(n, 1) * np.exp(-model.lam * top) * UNIT).astype(np.int64)})
 
     return run
 
@@ -253,9 +265,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return model
     lam = _lambda(np.repeat(bins["bin"].to_numpy() / 64, np.maximum(1, bins["n"].to_numpy() * 1_000_000 // bins["n"].sum())))
     model = Model(model.hashes, model.scores, model.sure, lam)
-    mean = clean.mapInArrow(_peaks(model), "v double").agg(F.avg("v")).first()[0]
+    v = clean.mapInArrow(_peaks(model), "v long").agg(F.sum("v").alias("total"), F.count("v").alias("n")).first()
+    mean = v.total / v.n / UNIT
     model = Model(model.hashes, model.scores, model.sure, lam, 1.0 / max(mean, 1e-12))
     seen = held.mapInArrow(_calibrate(model), "toxic long, best double, total double").toPandas()  # max_train rows at most
+    seen = seen.sort_values(["toxic", "best", "total"])  # sums of floats depend on the order
     if seen["toxic"].nunique() < 2:
         return model
     return Model(model.hashes, model.scores, model.sure, lam, model.k, _logistic(squash(seen["best"].to_numpy(), seen["total"].to_numpy()), seen["toxic"].to_numpy(float)))

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,31 @@ def test_equal_rows_side_by_side_score_alike():
     assert (tx.token_scores(model, keys, which, first) + tx.DRIFT).tolist() == [5.0, 5.0, 0.0, 5.0, 5.0, 0.0]
 
 
+def test_scores_do_not_depend_on_order_or_batches(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = tx.fit(docs, labels)
+    again = tx.fit(docs.repartition(5).orderBy(F.desc("doc_id")), labels.repartition(3))
+    assert (model.lam, model.k, model.weights) == (again.lam, again.k, again.weights)
+    want = {r.doc_id: (r.score, r.best, r.segments) for r in tx.score(docs, model).collect()}
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = {r.doc_id: (r.score, r.best, r.segments) for r in tx.score(docs.repartition(7, F.xxhash64("doc_id")).sortWithinPartitions(F.desc("text")), model).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert got == want
+
+
+def test_segments_of_a_very_long_text_take_linear_time():
+    rng = np.random.default_rng(5)
+    for drift in (-0.05, -0.5, -2.0):
+        score = rng.normal(drift, 1, 1_000_000)
+        began = time.perf_counter()
+        found = tx.maximal_segments(score)
+        assert time.perf_counter() - began < 10
+        assert all(b < c for (_, b, _), (c, _, _) in zip(found, found[1:]))
+
+
 def test_every_significant_token_is_kept(spark):
     n = 120_000
     counts = spark.range(n).select(F.col("id").alias("h"), F.when(F.col("id") % 2 == 0, 200).otherwise(20).cast("long").alias("toxic"), F.when(F.col("id") % 2 == 0, 20).otherwise(200).cast("long").alias("clean"))
