@@ -25,22 +25,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, a laptop) a temporary folder is made and set.
+    Where it is unset, a local master (tests, a laptop) gets a temporary folder, which is made
+    and set; on any other master that is an error, since executors would write to their own disks.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), f"shiftscope-{uuid.uuid4().hex}")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+#: Folders that this process wrote for its own intermediate tables.
+_WRITTEN: list[str] = []
+
+
+def new_folder(spark: SparkSession, kind: str = "shiftscope") -> str:
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all intermediate tables that this process wrote; results that are not yet
+    written read them, so call it after the last action. Returns their number."""
+    n = 0
+    while _WRITTEN:
+        n += delete(spark, _WRITTEN.pop())
+    return n
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and a lost
     executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shiftscope-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def only(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

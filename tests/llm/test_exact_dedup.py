@@ -32,6 +32,20 @@ def test_hot_group(spark):
     assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)) == brute(rows)
 
 
+def test_slices_of_the_filter_keep_its_cells_a_row(spark, monkeypatch):
+    monkeypatch.setattr(ed, "SLICE_CELLS", 1 << 16)
+    monkeypatch.setattr(ed, "SLICES_AT_ONCE", 2)
+    rows = [(i, f"text {i % 17_000}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert ed.slices_for(len(rows)) == 5
+    assert got(df) == brute(rows)
+    assert sorted(r.doc_id for r in ed.dedup(df).collect()) == list(range(17_000))
+    h = ed._by_slice(df.select(F.xxhash64("text").alias("h")), len(rows))
+    assert h.select("slice").distinct().count() == 5
+    maybe = ed.Repeats(h, len(rows)).mark(h).filter("maybe").count()
+    assert 6000 <= maybe < 6300  # 3,000 texts stand twice; the rest are false positives
+
+
 def test_full_filter_only_costs_rows(spark, monkeypatch):
     monkeypatch.setattr(ed, "CELLS_PER_ROW", 0)
     rows = [(i, f"text {i % 5000}") for i in range(40_000, 60_000)]
@@ -40,7 +54,8 @@ def test_full_filter_only_costs_rows(spark, monkeypatch):
 
 def test_filter_passes_every_repeat(spark):
     df = spark.createDataFrame(pd.DataFrame({"h": [i * 2654435761 for i in range(3000)] + [i * 2654435761 for i in range(0, 3000, 7)]}))
-    seen = df.withColumn("m", ed.possibly_repeated(df)).groupBy("h").agg(F.count("*").alias("n"), F.min("m").alias("m")).collect()
+    df = ed._by_slice(df, df.count())
+    seen = ed.Repeats(df, df.count()).mark(df).withColumnRenamed("maybe", "m").groupBy("h").agg(F.count("*").alias("n"), F.min("m").alias("m")).collect()
     assert all(r.m for r in seen if r.n > 1)
     assert sum(r.m for r in seen if r.n == 1) < 100
 
