@@ -3,18 +3,22 @@
 A page is parsed into a tree of elements.  Page furniture (navigation, headers, footers,
 asides, notices, adverts, forms, comments, hidden elements, scripts and styles) is cut
 by element, role and words of the class and id.  Every paragraph passes points for its length and
-its commas to its ancestors: all of them to the parent, half to the next, a third of
-that and less further up.  A container's points are discounted by its link density.  The
-best container is widened to the article or main element that holds it, and siblings
-that score or read like it are kept with it.
+its commas to its ancestors: all of them to the parent, half to the next, and a third of what
+the one before got to each further up.  A container's points are discounted by its link density
+and raised where its name or tag says that it holds content.  The container with the most
+points is kept, and with it those siblings that score or read like it, and all that stands
+between them.  Inside an article or main element the siblings of each level up to that element
+are looked at, and stay unless they are boxes of links without a heading; elsewhere the
+siblings of one level.
 
 The text is the container's blocks in page order, one a line: character references are
 decoded and each run of white space, a line break element too, is one space.
 
 Defined results: a null or empty page has the empty text; a page without any paragraph
-that scores gives the blocks of its article, main or body element that are not mostly
-links; repeated rows come out one by one; an empty table gives an empty result; extra
-columns are ignored.  Nothing is capped: a page is parsed whole.
+that scores gives the blocks of its article, main or body element; of a body, boxes of links
+are left out; repeated rows come out one by one; an empty table gives an empty result; extra
+columns are ignored.  Nothing is capped: a page is parsed whole, and parsing and scoring take
+time in proportion to its length, however deep or unclosed its elements are.
 """
 
 from __future__ import annotations
@@ -44,6 +48,11 @@ ENDS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}),
 }
 SCOPE = {"td", "th", "table", "caption", "html", "body", "button"}
+#: Kinds of elements whose open ones are counted: the key's elements, within the innermost of the stops.
+KINDS = [({"p"}, SCOPE), *((ENDS[t][0], ENDS[t][1]) for t in ("li", "dt", "tr", "td", "option"))]
+KIND_OF = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+MATE_OF = {t: [k for k, (mates, _) in enumerate(KINDS) if t in mates] for t in set().union(*(m for m, _ in KINDS))}
+STOP_OF = {t: [k for k, (_, stops) in enumerate(KINDS) if t in stops] for t in set().union(*(s for _, s in KINDS))}
 CUT = set("nav footer aside form button select input fieldset dialog menu object canvas audio video search label datalist".split())
 CUT_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 CUT_WORDS = set(
@@ -66,12 +75,66 @@ _COMMA = re.compile(r"[,،、，﹐﹑;]")
 
 
 class Node:
-    __slots__ = ("cut", "kids", "links", "parent", "points", "size", "tag", "words")
+    __slots__ = ("boxed", "commas", "cut", "far", "kids", "links", "n_links", "near", "parent", "points", "size", "tag", "words")
 
     def __init__(self, tag: str, parent: Node | None, words: frozenset = frozenset()):
         self.tag, self.parent, self.words = tag, parent, words
         self.kids: list = []
-        self.cut, self.points, self.size, self.links = False, 0.0, 0, 0
+        self.cut, self.boxed = False, False
+        self.size = self.links = self.n_links = self.commas = 0
+        self.near = self.far = self.points = 0.0
+
+
+class Stack:
+    """Open elements; counts of them by tag and kind tell at once whether an end has a start."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.open: dict[str, int] = {}
+        self.inline: list[dict[str, int]] = [{}]  # by innermost block
+        self.kinds: list[list[int]] = [[0] for _ in KINDS]
+        self.content = 0
+
+    def push(self, node: Node) -> None:
+        tag = node.tag
+        self.nodes.append(node)
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag in BLOCK:
+            self.inline.append({})
+        else:
+            self.inline[-1][tag] = self.inline[-1].get(tag, 0) + 1
+        for k in MATE_OF.get(tag, ()):
+            self.kinds[k][-1] += 1
+        for k in STOP_OF.get(tag, ()):
+            self.kinds[k].append(0)
+        self.content += tag in CONTENT
+
+    def pop(self) -> str:
+        tag = self.nodes.pop().tag
+        self.open[tag] -= 1
+        if tag in BLOCK:
+            self.inline.pop()
+        else:
+            self.inline[-1][tag] -= 1
+        for k in STOP_OF.get(tag, ()):
+            self.kinds[k].pop()
+        for k in MATE_OF.get(tag, ()):
+            self.kinds[k][-1] -= 1
+        self.content -= tag in CONTENT
+        return tag
+
+    def end(self, tag: str) -> None:
+        """An end tag; an inline one reaches no further than its block."""
+        if (self.open if tag in BLOCK else self.inline[-1]).get(tag):
+            while self.pop() != tag:
+                pass
+
+    def end_kind(self, k: int) -> None:
+        """Ends the innermost open element of a kind, if one is in scope."""
+        if self.kinds[k][-1]:
+            n = self.kinds[k][-1]
+            while len(self.kinds[k]) and self.kinds[k][-1] == n:
+                self.pop()
 
 
 def _look(tag: str, attrs: str) -> tuple[frozenset, bool]:
@@ -87,16 +150,13 @@ def _look(tag: str, attrs: str) -> tuple[frozenset, bool]:
     return words, gone
 
 
-def _cuts(node: Node) -> bool:
+def _cuts(node: Node, in_content: bool) -> bool:
     if node.tag in ("html", "body", *CONTENT):
         return node.tag in CONTENT and bool(node.words & CUT_WORDS) and not node.words & KEEP_WORDS
     if node.tag in CUT:
         return True
     if node.tag == "header":
-        up = node.parent
-        while up and up.tag not in CONTENT:
-            up = up.parent
-        return up is None
+        return not in_content
     found = node.words & CUT_WORDS
     if not found or node.tag in HEADING:
         return False
@@ -106,13 +166,14 @@ def _cuts(node: Node) -> bool:
 
 def parse(page: str) -> Node:
     root = Node("html", None)
-    stack = [root]
+    stack = Stack(root)
+    nodes = stack.nodes
     at, end = 0, len(page)
-    raw_end = None
+    raw_ends: dict[str, re.Pattern] = {}
 
     def say(text: str) -> None:
         if text:
-            stack[-1].kids.append(text)
+            nodes[-1].kids.append(text)
 
     while at < end:
         lt = page.find("<", at)
@@ -132,62 +193,55 @@ def parse(page: str) -> Node:
             break
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break  # an inline end tag reaches no further than its block
+            stack.end(tag)
             continue
         if tag in RAW and not m[3].rstrip().endswith("/"):
-            raw_end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = raw_end.end() if raw_end else end
+            close = raw_ends.setdefault(tag, re.compile(rf"</{tag}\s*>", re.I)).search(page, at)
+            at = close.end() if close else end
             continue
         if tag in ("html", "body", "head"):
             continue
         if tag in VOID:
             if tag in ("br", "hr", "wbr"):
-                stack[-1].kids.append("" if tag == "wbr" else " " if tag == "br" else Node("hr", stack[-1]))
+                nodes[-1].kids.append("" if tag == "wbr" else " " if tag == "br" else Node("hr", nodes[-1]))
             continue
         if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE:
-                    break
+            stack.end_kind(0)
         if tag in ENDS:
-            mates, stops = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stops:
-                    break
-                if stack[i].tag in mates:
-                    del stack[i:]
-                    if tag != "tr":
-                        break
+            k = KIND_OF[tag]
+            stack.end_kind(k)
+            while tag == "tr" and stack.kinds[k][-1]:  # a cell and its row
+                stack.end_kind(k)
         words, gone = _look(tag, m[3])
-        node = Node(tag, stack[-1], words)
-        node.cut = gone or _cuts(node)
-        stack[-1].kids.append(node)
+        node = Node(tag, nodes[-1], words)
+        node.cut = gone or _cuts(node, stack.content > 0)
+        nodes[-1].kids.append(node)
         if not m[3].rstrip().endswith("/") or tag in BLOCK:
-            stack.append(node)
+            stack.push(node)
     return root
 
 
 def _measure(root: Node) -> list[Node]:
-    """Elements in page order, with the sizes of their text and link text; cut ones are left out."""
+    """Elements in page order, with what their text amounts to; cut ones are left out."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [k for k in reversed(node.kids) if type(k) is Node and not k.cut]
     for node in reversed(order):
-        own = sum(len(" ".join(k.split())) for k in node.kids if type(k) is str)
-        node.size += own
-        node.links = node.size if node.tag == "a" else node.links
-        if node.parent is not None:
-            node.parent.size += node.size
-            node.parent.links += node.links
+        for k in node.kids:
+            if type(k) is str:
+                node.size += len(" ".join(k.split()))
+                node.commas += len(_COMMA.findall(k))
+        if node.tag == "a":
+            node.links, node.n_links = node.size, node.n_links + 1
+        up = node.parent
+        if up is not None:
+            up.size += node.size
+            up.links += node.links
+            up.n_links += node.n_links
+            up.commas += node.commas
+            up.boxed = up.boxed or node.boxed or node.tag in BLOCK
     return order
 
 
@@ -195,58 +249,47 @@ def _density(node: Node) -> float:
     return node.links / node.size if node.size else 0.0
 
 
+def _paragraph(node: Node) -> bool:
+    return node.tag in PARAGRAPH and node.size >= 25 and (node.tag in ("p", "pre") or not node.boxed)
+
+
 def _score(order: list[Node]) -> Node | None:
-    best, scored = None, []
-    for node in order:
-        if node.tag not in PARAGRAPH:
-            continue
-        if node.tag in ("div", "section", "li", "td", "dd", "blockquote") and any(type(k) is Node and k.tag in BLOCK for k in node.kids):
-            continue
-        if node.size < 25:
-            continue
-        flat = " ".join(_text(node))
-        points = (1 + len(_COMMA.findall(flat)) + min(node.size / 100, 3)) * (1 - _density(node))
-        up, level = node.parent, 0
-        while up is not None:
-            if not up.points:
-                scored.append(up)
-            up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            up, level = up.parent, level + 1
-    for node in scored:
+    """The container with the most points; each element hands its paragraphs' points up once."""
+    best = None
+    for node in reversed(order):
+        if _paragraph(node):
+            own = (1 + node.commas + min(node.size / 100, 3)) * (1 - _density(node))
+            if node.parent is not None:
+                node.parent.near += own
+        if node.parent is not None:
+            node.parent.far += node.near / 2 + node.far / 3
         bonus = 1.5 if node.tag in CONTENT or node.words & KEEP_WORDS else 0.7 if node.parent is None else 1.0
-        node.points *= bonus * (1 - _density(node))
+        node.points = (node.near + node.far) * bonus * (1 - _density(node))
     for node in order:
         if node.points and (best is None or node.points > best.points):
             best = node
     return best
 
 
-def _text(node: Node) -> list[str]:
-    out, todo = [], [node]
-    while todo:
-        k = todo.pop()
-        if type(k) is str:
-            out.append(k)
-        elif not k.cut:
-            todo += reversed(k.kids)
-    return out
-
-
-def _listing(node: Node) -> bool:
-    """A list or box inside the article that is a menu: several links and little else."""
-    return node.tag in ("ul", "ol", "div", "section", "table", "dl") and _density(node) > 0.7 and sum(1 for k in _walk(node) if k.tag == "a") >= 3
+def _menu(node: Node) -> bool:
+    """A list or box that is several links and little else."""
+    return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.n_links >= 3 and _density(node) > 0.7
 
 
-def _walk(node: Node) -> Iterator[Node]:
-    todo = [node]
-    while todo:
-        k = todo.pop()
-        yield k
-        todo += [x for x in k.kids if type(x) is Node and not x.cut]
+def _ends(node: Node) -> bool:
+    """Whether an element's text ends like a sentence."""
+    while node.kids:
+        last = next((k for k in reversed(node.kids) if (k.strip() if type(k) is str else not k.cut and k.size)), None)
+        if last is None:
+            return False
+        if type(last) is str:
+            return last.rstrip().endswith((".", "!", "?"))
+        node = last
+    return False
 
 
-def _blocks(node: Node) -> list[str]:
-    """The texts between borders of block elements, white space made one space."""
+def _blocks(kids: list, menus: bool) -> list[str]:
+    """The texts between borders of block elements, white space made one space; ``menus``: whether boxes of links stay."""
     out: list[str] = []
     now: list[str] = []
 
@@ -255,14 +298,14 @@ def _blocks(node: Node) -> list[str]:
             out.append(line)
         now.clear()
 
-    todo: list = [node]
+    todo: list = list(reversed(kids))
     while todo:
         k = todo.pop()
         if k is None:
             close()
         elif type(k) is str:
             now.append(k)
-        elif not k.cut and not (k is not node and _listing(k)):
+        elif not k.cut and (menus or not _menu(k)):
             if k.tag in BLOCK:
                 close()
                 todo.append(None)
@@ -271,6 +314,30 @@ def _blocks(node: Node) -> list[str]:
     return out
 
 
+def _beside(best: Node) -> list:
+    """The kids of the best container's parent that stay: those that score or read like it, and what is between."""
+    need = max(10.0, 0.2 * best.points)
+    kids, keep = best.parent.kids, []
+    for i, k in enumerate(kids):
+        if type(k) is Node and not k.cut and (k is best or k.points >= need or k.tag in ("h1", "h2") or (k.tag == "p" and _density(k) < 0.25 and (k.size > 80 or _ends(k)))):
+            keep.append(i)
+    out, marks = [], set(keep)
+    for i in range(keep[0], keep[-1] + 1):
+        k = kids[i]
+        if i in marks or type(k) is str or not _menu(k) or _led(kids, i):
+            out.append(k)
+    return out
+
+
+def _led(kids: list, i: int) -> bool:
+    """Whether a heading stands right before a box of links."""
+    while i > 0:
+        i -= 1
+        if type(kids[i]) is Node or kids[i].strip():
+            return type(kids[i]) is Node and kids[i].tag in HEADING
+    return False
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -279,23 +346,19 @@ def main_text(page: str | None) -> str:
     best = _score(order)
     if best is None:
         best = max((n for n in order if n.tag in CONTENT), key=lambda n: n.size, default=root)
-        return "\n".join(_blocks(best))
-    up = best
-    while up is not None and up.tag not in CONTENT:
-        up = up.parent
-    if up is not None:
-        return "\n".join(_blocks(up))
-    if best.parent is None:
-        return "\n".join(_blocks(best))
-    need = max(10.0, 0.2 * best.points)
-    out: list[str] = []
-    for k in best.parent.kids:
-        if type(k) is not Node or k.cut:
-            continue
-        keep = k is best or k.points >= need or k.tag in ("h1", "h2") or (k.tag == "p" and _density(k) < 0.25 and (k.size > 80 or "".join(_text(k)).rstrip().endswith((".", "!", "?"))))
-        if keep:
-            out += _blocks(k)
-    return "\n".join(out)
+        return "\n".join(_blocks([best], best is not root))
+    path, top = [best], best
+    while top is not None and top.tag not in CONTENT:
+        top = top.parent
+        path.append(top)
+    if top is None:
+        if best.parent is None:
+            return "\n".join(_blocks([best], False))
+        return "\n".join(_blocks(_beside(best), True))
+    # inside an article: the siblings of each level stay unless they are boxes of links without a heading
+    for node, child in zip(path[1:], path):
+        node.kids = [k for i, k in enumerate(node.kids) if k is child or type(k) is str or not _menu(k) or _led(node.kids, i)]
+    return "\n".join(_blocks([top], True))
 
 
 SCHEMA = "page_id long, url string, text string, n_chars long"

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from shiftscope.llm.html_text import extract, main_text
@@ -42,6 +43,40 @@ def test_cut_off_page_and_nested():
     assert main_text("<ul><li><a href=1>a</a><li><a href=2>b</a></ul>" + f"<div><p>{LONG}</p></div>") == LONG
 
 
+LINKS = "<ul><li><a href=1>First source</a><li><a href=2>Second source</a><li><a href=3>Third source</a></ul>"
+
+
+def test_pages_without_article_or_main():
+    page = f"""<body><div id=top><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a></div><div class=site><h1>Title</h1><div><p>{LONG}</p><h3>Part</h3>
+    <pre>x = 1</pre><ul><li>one<li>two</ul><p>{LONG}</p><h2>Sources</h2>{LINKS}</div><div><a href=1>More</a> <a href=2>Other</a> <a href=3>Next</a></div></div></body>"""
+    assert main_text(page) == f"Title\n{LONG}\nPart\nx = 1\none\ntwo\n{LONG}\nSources\nFirst source\nSecond source\nThird source"
+    # the text in several containers: what stands between them stays
+    parts = f"<div><p>{LONG}</p><p>{LONG}</p></div>"
+    assert main_text(f"<body><div>{LINKS}</div><div><h1>T</h1>{parts}<h3>Middle</h3><pre>code</pre><ul><li>item</ul>{parts}</div></body>") == "\n".join(["T", LONG, LONG, "Middle", "code", "item", LONG, LONG])
+
+
+def test_lists_of_links_in_an_article():
+    assert main_text(f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p><h2>Sources</h2>{LINKS}</article>") == f"T\n{LONG}\n{LONG}\nSources\nFirst source\nSecond source\nThird source"
+    inner = f"<div><p>{LONG}</p><p>{LONG}</p>{LINKS}</div>"
+    assert main_text(f"<article><h1>T</h1>{inner}<p>By A</p>{LINKS}</article>") == f"T\n{LONG}\n{LONG}\nFirst source\nSecond source\nThird source\nBy A"
+
+
+def test_the_score_decides_between_containers():
+    best = f"<div><p>{LONG} {LONG}</p><p>{LONG}</p><p>{LONG}</p></div>"
+    teaser = f"<article><p>{LONG[:40]}</p></article>"
+    assert main_text(f"<body>{teaser}{teaser}<section>{best}</section></body>") == f"{LONG} {LONG}\n{LONG}\n{LONG}"
+    links = "<div>" + "".join(f"<p><a href={i}>{LONG}</a></p>" for i in range(9)) + "</div>"
+    assert main_text(f"<body>{links}<section>{best}</section></body>") == f"{LONG} {LONG}\n{LONG}\n{LONG}"
+
+
+def test_hostile_pages_take_time_in_proportion():
+    n = 100_000
+    for page in ("<div>" * n + f"<p>{LONG}</p>", f"<div><p>{LONG}" * n, "<div>" * n + "<li>x</li>" * n, "<b><div>" + "<i>" * n + "</b>" * n, "<pre>" * n, "<div>" * n + "</section>" * n, "<div><span>" * n + LONG, f"<p>{LONG}</p>" + LINKS * (n // 10)):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 15, page[:40]
+
+
 def brute(page):
     """The synthetic pages' articles, cut out with patterns."""
     m = re.search(r"<article>(.*?)(</article>|<footer|\Z)", page, re.S)
