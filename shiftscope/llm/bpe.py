@@ -9,7 +9,9 @@
 3. Join back: a word's ids return to the slices that hold it, by its number there, and
    are written out by position beside the slice's position lists.  A frequent word goes
    to a slice once, however often it stands there, so no key is hot.
-4. Decode: each id is looked up in the id-to-piece table, whose size is the vocabulary's.
+4. Decode: ids are joined with the id-to-piece table, whose size is the vocabulary's (bounded,
+   so it is broadcast): ``decode`` explodes and joins in Spark; the digests join each slice's
+   distinct ids with it, since pieces of all positions would move the texts once more.
 
 Slices are named by a hash of their ids and texts.  The split runs once for the words and
 once for the positions, which saves writing the position lists; were a slice ever cut
@@ -17,7 +19,8 @@ differently the second time, its name would have no words and the job would fail
 than give wrong ids.
 
 Defined results: null and empty texts have no tokens, and the digests of the empty string;
-the vocabulary's added tokens are recognised inside texts as the library does by default;
+the vocabulary's added tokens are recognised inside texts as the library does by default; a
+tokenizer file that asks for more than byte-level BPE (see ``check_file``) raises an error;
 repeated rows come out one by one; an empty table gives an empty result; extra columns are
 ignored by ``encode_digest`` and dropped by ``encode``.
 """
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -39,9 +43,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftscope.llm.common import only, slices, table
+from shiftscope.llm.common import durable, only, slices, table
 
 SLICE = 8 << 20
+#: Positions of a row that are put together in one group when it is decoded.
+RUN = 4096
 #: Splits text before the merges; a fixed value of byte-level tokenizer files. White space is Unicode's White_Space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 
@@ -53,12 +59,50 @@ def vocabulary(path: str | None = None) -> str:
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
-        return f.read()
+        spec = f.read()
+    check_file(json.loads(spec))
+    return spec
+
+
+def check_file(data: dict) -> None:
+    """Raises unless the file is byte-level BPE as this module splits and encodes it."""
+    model, pre, post = data.get("model") or {}, data.get("pre_tokenizer") or {}, data.get("decoder") or {}
+    wrong = []
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "fuse_unk")):
+        wrong.append("model")
+    if data.get("normalizer"):
+        wrong.append("normalizer")
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space", True) or not pre.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    if post.get("type") != "ByteLevel":
+        wrong.append("decoder")
+    if any(t.get(k) for t in data.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+        wrong.append("added_tokens")
+    if wrong:
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(wrong)}")
+
+
+def pieces_of(data: dict) -> pa.Table:
+    """The id-to-piece table: (id, piece bytes)."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
+    held = {i: bytes(byte_of[c] for c in word) for word, i in data["model"]["vocab"].items()}
+    held |= {t["id"]: t["content"].encode() for t in data["added_tokens"]}
+    return pa.table({"id": pa.array(list(held), pa.int64()), "piece": pa.array(list(held.values()), pa.binary())})
+
+
+def joined(ids: np.ndarray, pieces: pa.Table) -> dict[int, bytes]:
+    """Distinct ids with their pieces; an id without a piece is an error."""
+    own = pa.table({"id": pa.array(np.unique(ids).astype(np.int64))})
+    met = own.join(pieces, "id")
+    if met.column("piece").null_count:
+        raise ValueError("an id outside the vocabulary")
+    return dict(zip(met.column("id").to_pylist(), met.column("piece").to_pylist()))
 
 
 @lru_cache(maxsize=2)
 def _tools(spec: str):
-    """(tokenizer, splitter of added tokens or None, id of each added token, piece bytes by id) in a worker."""
+    """(tokenizer, splitter of added tokens or None, id of each added token, id-to-piece table) in a worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,14 +111,10 @@ def _tools(spec: str):
     data = json.loads(spec)
     added = {t["content"]: t["id"] for t in data["added_tokens"]}
     cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
-    pieces = [b""] * (max([*data["model"]["vocab"].values(), *added.values()]) + 1)
-    for word, i in data["model"]["vocab"].items():
-        pieces[i] = bytes(byte_of[c] for c in word)
-    for word, i in added.items():
-        pieces[i] = word.encode()
-    return Tokenizer.from_str(spec), cut, added, pieces
+    tokenizer = Tokenizer.from_str(spec)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer, cut, added, pieces_of(data)
 
 
 def split(text: str, cut, added: dict[str, int], find) -> list[str]:
@@ -201,6 +241,7 @@ def _gather(spec, emit, schema: pa.Schema):
 
 def _digest(doc_ids, sizes, flat, ids, pieces) -> pa.Table:
     nums = [x.tolist() for x in ids]
+    pieces = joined(np.concatenate(ids), pieces) if ids else {}
     count = np.array([len(x) for x in nums] or [0], np.int64)
     shown = [",".join(map(str, x)).encode() for x in nums]
     plain = [b"".join([pieces[i] for i in x]) for x in nums]
@@ -246,16 +287,28 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 
 def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """Per row: doc_id, text; each id is joined with its piece. Ids outside the vocabulary raise an error."""
-    sent = coded.sparkSession.sparkContext.broadcast(vocabulary(path))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _tools(sent.value)[3]
-        for b in batches:
-            texts = [b"".join([pieces[i] for i in x or []]).decode("utf-8", "replace") for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text": pa.array(texts, pa.string())})
-
-    return coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    """Per row: doc_id, text; each id is joined with its piece. Ids outside the vocabulary raise an error.
+
+    A row's ids travel with their pieces in runs, so that a long row is no long group; broken
+    UTF-8 becomes U+FFFD as the library has it.
+    """
+    spark = coded.sparkSession
+    table_ = pieces_of(json.loads(vocabulary(path)))
+    pieces = spark.createDataFrame(list(zip(table_.column("id").to_pylist(), table_.column("piece").to_pylist())), "id long, piece binary")
+    own = coded.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{ids_col}`").cast("array<long>"), F.array().cast("array<long>")).alias("ids"))
+    own = durable(own)  # the row numbers
+    at = own.select("row", F.posexplode("ids").alias("at", "id"))
+    met = at.join(F.broadcast(pieces), "id", "left")  # the vocabulary's size
+    piece = F.when(F.col("piece").isNull(), F.raise_error(F.concat(F.lit("no piece for id "), F.col("id").cast("string"))).cast("binary")).otherwise(F.col("piece"))
+    whole = lambda c: F.unhex(F.array_join(F.transform(F.array_sort(c), lambda x: F.hex(x["b"])), ""))
+    runs = met.select("row", F.expr(f"at div {RUN}").alias("run"), "at", piece.alias("b")).groupBy("row", "run").agg(whole(F.collect_list(F.struct("at", "b"))).alias("b"))
+    texts = runs.groupBy("row").agg(whole(F.collect_list(F.struct("run", "b"))).alias("b"))
+
+    @F.pandas_udf("string")
+    def shown(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: bytes(b or b"").decode("utf-8", "replace"))
+
+    return own.select("row", "doc_id").join(texts, "row", "left").select("doc_id", shown("b").alias("text"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,10 @@
 import hashlib
+import json
 import random
 
+import numpy as np
+import pytest
+
 from shiftscope.llm import bpe
 
 ODD = [
@@ -33,6 +37,38 @@ def test_matches_library(spark):
         assert back[i] == text
 
 
+def test_other_files_are_refused():
+    data = json.loads(bpe.vocabulary())
+    bpe.check_file(data)
+    others = [
+        {"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": data["pre_tokenizer"] | {"add_prefix_space": True}}, {"decoder": None},
+        {"model": data["model"] | {"byte_fallback": True}}, {"model": {"type": "WordPiece"}}, {"added_tokens": [data["added_tokens"][0] | {"rstrip": True}]},
+    ]
+    for other in others:
+        with pytest.raises(ValueError):
+            bpe.check_file(data | other)
+
+
+def test_truncation_and_padding_of_a_file_are_unused(spark, tmp_path):
+    data = json.loads(bpe.vocabulary())
+    data["truncation"] = {"direction": "Right", "max_length": 2, "strategy": "LongestFirst", "stride": 0}
+    data["padding"] = {"strategy": {"Fixed": 9}, "direction": "Right", "pad_to_multiple_of": None, "pad_id": 0, "pad_type_id": 0, "pad_token": "!"}
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(data))
+    docs = spark.createDataFrame([(1, "antidisestablishmentarianism of words")], "doc_id long, text string")
+    assert bpe.encode(docs, path=str(path)).collect() == bpe.encode(docs).collect()
+
+
+def test_decode_joins_every_id(spark):
+    coded = spark.createDataFrame([(1, [10, 20]), (1, []), (2, None), (None, list(range(9000)))], "doc_id long, ids array<int>")
+    got = sorted(((r.doc_id or 0, r.text) for r in bpe.decode(coded).collect()))
+    pieces = bpe.joined(np.arange(9000), bpe.pieces_of(json.loads(bpe.vocabulary())))
+    whole = b"".join(pieces[i] for i in range(9000)).decode("utf-8", "replace")
+    assert got == [(0, whole), (1, ""), (1, (pieces[10] + pieces[20]).decode()), (2, "")]
+    with pytest.raises(Exception, match="no piece for id 99999999"):
+        bpe.decode(spark.createDataFrame([(1, [99999999])], "doc_id long, ids array<int>")).collect()
+
+
 def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "same text"), (1, "same text"), (None, None)], "doc_id long, text string")
     assert bpe.encode_digest(docs).count() == 3
