@@ -6,14 +6,14 @@ document with a smaller id; strings are judged on the input.  Matches never cros
 1. Anchors.  Each 50-byte window has an anchor, the leftmost place in it with the least
    hash of ``GRAM`` bytes, so equal windows have equal anchors at one offset.  Runs of
    windows with one anchor are dealt by the anchor's hash to fragments, and a fragment
-   tells which anchors stand in two different texts.  Whole-text copies of a smaller id
-   are told in the same pass and drop out.
+   tells which anchors stand in two rows.  Copies of whole texts are sorted like all else.
 2. Passages.  Only the bytes of windows with a repeated anchor travel, to the anchor's
    fragment; equal passages of a batch go once.
 3. Suffix sort.  In a fragment the suffixes that begin at windows are sorted in two
    stages (Itoh and Tanaka 1999): those smaller than their successors directly, the rest
-   induced by scanning the buckets of first bytes in order.  Adjacent common prefixes of
-   50 bytes or more form groups of equal windows; the smallest id of a group decides.
+   induced by scanning the buckets of first bytes in order.  The lengths of common prefixes
+   of adjacent suffixes are computed, to the 50 bytes that a window has; where it is 50 the
+   windows are equal, and the smallest id of such a group decides.
 4. The windows that go return to their batch, are united, and the kept bytes are hashed.
 
 The texts are read again for steps 2 and 4 in the same plan.  Batches are named by their
@@ -113,11 +113,10 @@ class Batch:
 
     def __init__(self, ids: np.ndarray, raw: np.ndarray, offsets: np.ndarray):
         self.ids, self.raw, self.offsets = ids, raw, offsets
-        data = raw.tobytes()
-        cut = offsets.tolist()
-        digests = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(cut[:-1], cut[1:])]
-        self.digest = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2) if digests else np.zeros((0, 2), np.uint64)
-        self.name = xxhash.xxh3_64_intdigest(ids.tobytes() + offsets.tobytes() + b"".join(digests)) - (1 << 63)
+        name = xxhash.xxh3_64(ids.tobytes())
+        name.update(offsets.tobytes())
+        name.update(np.ascontiguousarray(raw))
+        self.name = name.intdigest() - (1 << 63)
 
     def dealt(self, parts: int):
         """Runs in the order of fragments, and the border of each fragment."""
@@ -143,42 +142,31 @@ def _deal(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches):
             row, _, _, value, border = b.dealt(parts)
-            home = _fragment(b.digest[:, 0], parts)
-            for f in range(parts):
+            for f in np.flatnonzero(np.diff(border)).tolist():
                 lo, hi = border[f], border[f + 1]
-                mine = np.flatnonzero(home == f)
-                if lo == hi and not len(mine):
-                    continue
                 used, count = np.unique(row[lo:hi], return_counts=True)
-                data = pack(six_bytes(value[lo:hi]), count.astype(np.uint32), b.digest[used, 0], mine.astype(np.uint32), b.digest[mine], b.ids[mine])
+                data = pack(six_bytes(value[lo:hi]), count.astype(np.uint32), used.astype(np.uint32))
                 yield pa.RecordBatch.from_pydict({"frag": pa.array([f], pa.int64()), "batch": pa.array([b.name], pa.int64()), "data": [data]})
 
     return run
 
 
 def _repeated(key: tuple, rows: pa.Table) -> pa.Table:
-    """In one fragment: anchors that stand in different texts, and whole-text copies of a smaller id."""
+    """In one fragment: anchors that stand in two rows."""
     datas = [unpack(x) for x in rows.column("data").to_pylist()]
     value = np.concatenate([from_six(d[0]) for d in datas])
-    text = np.concatenate([np.repeat(d[2], d[1]) for d in datas])
-    order = np.argsort(value)
-    v, t = value[order], text[order]
-    head = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+    base = np.cumsum([0, *(len(d[2]) for d in datas)])
+    who = np.concatenate([np.repeat(np.arange(len(d[2])) + k, d[1]) for d, k in zip(datas, base)])
+    order = np.argsort(value, kind="stable")
+    v, w = value[order], who[order]
+    head = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    many = np.minimum.reduceat(w, head) != np.maximum.reduceat(w, head)
     flag = np.zeros(len(v), bool)
-    if len(head):
-        many = np.minimum.reduceat(t, head) != np.maximum.reduceat(t, head)
-        flag[order] = np.repeat(many, np.diff(np.append(head, len(v))))
-    ids, whole = np.concatenate([d[5] for d in datas]), np.concatenate([d[4] for d in datas])
-    copy = np.zeros(len(ids), bool)
-    if len(ids):
-        order = np.lexsort((ids, whole[:, 1], whole[:, 0]))
-        w = whole[order]
-        head = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]).any(axis=1)])
-        copy[order] = ids[order] > np.repeat(ids[order][head], np.diff(np.append(head, len(ids))))
-    out, i, j = [], 0, 0
+    flag[order] = np.repeat(many, np.diff(np.append(head, len(v))))
+    out, i = [], 0
     for d in datas:
-        out.append(pack(np.packbits(flag[i : i + len(d[0])]), d[3][copy[j : j + len(d[5])]]))
-        i, j = i + len(d[0]), j + len(d[5])
+        out.append(pack(np.packbits(flag[i : i + len(d[0])])))
+        i += len(d[0])
     return pa.table({"frag": rows.column("frag"), "batch": rows.column("batch"), "flags": pa.array(out, pa.binary())})
 
 
@@ -202,19 +190,15 @@ def _passages(parts: int):
         """The bytes of windows with a repeated anchor, equal ones of a batch once."""
         if not left.num_rows:
             raise _differs()
-        flags = {f: unpack(x) for f, x in zip(right.column("frag").to_pylist(), right.column("flags").to_pylist())}
+        flags = {f: unpack(x)[0] for f, x in zip(right.column("frag").to_pylist(), right.column("flags").to_pylist())}
         frags, datas = [], []
         b = Batch(*unpack(left.column("body")[0].as_py()))  # equal batches have equal passages
         row, begin, end, _, border = b.dealt(parts)
-        copies = np.zeros(len(b.ids), bool)
-        for _, copied in flags.values():
-            copies[copied] = True
         for f in np.flatnonzero(np.diff(border)).tolist():
             if f not in flags:
                 raise _differs()
             lo, hi = border[f], border[f + 1]
-            flag = np.unpackbits(flags[f][0])[: hi - lo].astype(bool) & ~copies[row[lo:hi]]
-            at = np.flatnonzero(flag) + lo
+            at = np.flatnonzero(np.unpackbits(flags[f])[: hi - lo]) + lo
             if not len(at):
                 continue
             size = end[at] - begin[at] + LENGTH - 1
@@ -308,17 +292,28 @@ def _sorted_directly(text: np.ndarray, places: np.ndarray) -> np.ndarray:
     return order
 
 
-def equal_windows(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Whether each suffix in order shares LENGTH bytes with the one before."""
+def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The length of the common prefix of each suffix in order and the one before, to LENGTH bytes; 0 for the first."""
     at = _words_at(text)
-    same = np.ones(len(order), bool)
-    same[:1] = False
+    length = np.zeros(len(order), np.int64)
+    live = np.arange(1, len(order))
     for k in range(0, LENGTH, 8):
-        word = at[order + k].astype(np.uint64)
-        if k + 8 > LENGTH:
-            word &= np.uint64(((1 << 64) - 1) ^ ((1 << (8 * (k + 8 - LENGTH))) - 1))
-        same[1:] &= word[1:] == word[:-1]
-    return same
+        differ = at[order[live] + k].astype(np.uint64) ^ at[order[live - 1] + k].astype(np.uint64)
+        alike = differ == 0
+        # whole bytes before the highest bit that differs
+        bits = np.frexp((differ[~alike] >> np.uint64(32)).astype(np.float64))[1]
+        low = bits == 0
+        bits[~low] += 32
+        bits[low] = np.frexp((differ[~alike][low]).astype(np.float64))[1]
+        length[live[~alike]] = k + (64 - bits) // 8
+        live = live[alike]
+    length[live] = LENGTH
+    return np.minimum(length, LENGTH)
+
+
+def equal_windows(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether each suffix in order shares LENGTH bytes with the one before."""
+    return common_prefixes(text, order) >= LENGTH
 
 
 def _sort(key: tuple, rows: pa.Table) -> pa.Table:
@@ -369,7 +364,7 @@ def _sort(key: tuple, rows: pa.Table) -> pa.Table:
         runs_at = np.repeat(run_first[w[own]] - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(own) else np.zeros(0, np.int64), count) + np.arange(count.sum())
         r.append(row[rep]), a.append(begin[rep] + up[runs_at] - first[w[rep]]), z.append(begin[rep] + down[runs_at] - first[w[rep]] + LENGTH - 1)
         out.append(pack(np.concatenate(r), np.concatenate(a), np.concatenate(z)))
-    return pa.table({"batch": rows.column("batch"), "gone": pa.array(out, pa.binary()), "flags": pa.nulls(len(out), pa.binary())})
+    return pa.table({"batch": rows.column("batch"), "gone": pa.array(out, pa.binary())})
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:bigint,past:bigint>>"
@@ -388,11 +383,6 @@ def _finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         np.add.at(edge, offsets[row] + a, 1)
         np.add.at(edge, offsets[row] + z, -1)
         gone = np.cumsum(edge[:-1]) > 0
-        for flags in right.column("flags").to_pylist():
-            if flags is not None:
-                for i in unpack(flags)[1].tolist():
-                    if offsets[i + 1] - offsets[i] >= LENGTH:
-                        gone[offsets[i] : offsets[i + 1]] = True
         for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
             own = gone[lo:hi]
             turn = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
@@ -412,9 +402,8 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     flags = own.mapInArrow(_deal(parts), ANCHORS).groupBy("frag").applyInArrow(_repeated, "frag long, batch long, flags binary")
     texts = own.mapInArrow(_texts, TEXTS)
     passages = texts.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(_passages(parts), PASSAGES)
-    gone = passages.groupBy("frag").applyInArrow(_sort, "batch long, gone binary, flags binary")
-    marks = gone.unionByName(flags.select("batch", F.lit(None).cast("binary").alias("gone"), "flags"))
-    return texts.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(_finish, RESULT)
+    gone = passages.groupBy("frag").applyInArrow(_sort, "batch long, gone binary")
+    return texts.groupBy("batch").cogroup(gone.groupBy("batch")).applyInArrow(_finish, RESULT)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import numpy as np
-from shiftscope.llm.suffix_dedup import LENGTH, equal_windows, removed_spans, suffix_order
+from shiftscope.llm.suffix_dedup import LENGTH, common_prefixes, equal_windows, removed_spans, suffix_order
 
 
 def brute(rows):
@@ -39,6 +39,8 @@ def test_suffix_order_is_exact():
         assert sorted(order.tolist()) == sorted(wanted.tolist())
         keys = [text[p : p + LENGTH].tobytes() for p in order]
         assert keys == sorted(keys)
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), LENGTH)
+        assert common_prefixes(text, order).tolist() == [0] + [common(a, b) for a, b in zip(keys, keys[1:])]
         assert equal_windows(text, order).tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
 
 
