@@ -1,6 +1,9 @@
 import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
+from shiftscope.llm import ngram_join as nj
 from shiftscope.llm.ngram_join import clusters, keep_one
 from tests_llm_helpers import components as brute
 
@@ -32,6 +35,39 @@ def test_generated_groups(spark):
     check(spark, rows)
 
 
+def test_long_lists_are_dealt_in_blocks(spark, monkeypatch):
+    """Every list is long: all pairs come from pairs of blocks."""
+    monkeypatch.setattr(nj, "LONG", 0)
+    monkeypatch.setattr(nj, "BLOCK", 16)
+    dealt = []
+    monkeypatch.setattr(nj, "durable", lambda df, real=nj.durable: (out := real(df), "meets" in df.columns and dealt.append(out.where("data is not null").count()))[0])
+    rng = random.Random(8)
+    common = [[f"c{k}_{i}" for i in range(12)] for k in range(12)]
+    rows = []
+    for i in range(420):  # shared blocks in many mixtures: few link, all share frequent shingles
+        rows.append((i * 11 % 4201, " ".join(w for k in rng.sample(range(12), rng.randint(4, 7)) for w in common[k])))
+    rows += [(9000 + i, rows[i][1] + " tail") for i in range(0, 60, 3)]
+    check(spark, rows)
+    assert dealt[0] > 50
+
+
+def test_a_long_list_without_links_takes_bounded_time(spark):
+    """Texts of shared passages, none linked: every posting list is long."""
+    rng = np.random.default_rng(4)
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(40)]
+    rows = [(i, " ".join(passages[k] for k in rng.choice(40, 5, replace=False))) for i in range(20_000)]
+    began = time.perf_counter()
+    out = clusters(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    n = out.select("component_id").distinct().count()
+    assert n > 1000 and time.perf_counter() - began < 240
+
+
+def test_equal_batches_come_out_as_often(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    out = clusters(df.union(df).union(df)).collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in out] == [(1, 3, 1)] * 3
+
+
 def test_edges(spark):
     check(spark, [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A\tB"), (6, "b a"), (7, "a b c d e"), (8, "A b C d e\n"), (9, "a b c d e f"), (10, "x" * 100000), (11, "X" * 100000)], 2)
 
