@@ -42,7 +42,7 @@ def test_long_lists_are_dealt_in_blocks(spark, monkeypatch):
     dealt = []
     monkeypatch.setattr(nj, "durable", lambda df, real=nj.durable: (out := real(df), "meets" in df.columns and dealt.append(out.where("data is not null").count()))[0])
     rng = random.Random(8)
-    common = [[f"c{k}_{i}" for i in range(12)] for k in range(12)]
+    common = [[f"c{k}_{i}" for i in range(40)] for k in range(12)]
     rows = []
     for i in range(420):  # shared blocks in many mixtures: few link, all share frequent shingles
         rows.append((i * 11 % 4201, " ".join(w for k in rng.sample(range(12), rng.randint(4, 7)) for w in common[k])))
