@@ -1,30 +1,30 @@
 """Dependency graphs as edges, and the walks over them.
 
 A sentence is keyed by (period, file, sent_seq).  Edges run both ways: ``chi_<rel>`` from
-head to dependent, ``pa_<rel>`` back.  Walks are equi-joins on (sentence, node), one for
-each step of the template or level, and keep the nodes they have seen.
+head to dependent, ``pa_<rel>`` back.  A walk joins its rows with the edges on (sentence, node),
+once for each step, whatever the number of paths: all paths of a template or slots walk in the
+same rows, and a row that has come to its end is carried along.  The edges' shuffle is the same
+for each step, so Spark reuses it; of a template only the edges of its relations are moved.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftscope.functions.text import anchor_filler, bare_relation, filler
-from shiftscope.plans.templates import Template
+from shiftscope.functions.text import anchor_filler, filler
+from shiftscope.plans.templates import Step, Template
 
 SENT = ["period", "file", "sent_seq"]
 TARGET = [*SENT, "target"]
 
 
 def edges(tokens: DataFrame) -> DataFrame:
-    """(sentence, src, dst, label); a head 0 adds none."""
+    """(sentence, src, dst, label, dst_pos); a head 0 adds none. The part of speech is known where a step goes to the dependent."""
     own = tokens.where((F.col("head") != "0") & F.col("head").isNotNull())
-    down = own.select(*SENT, F.col("head").alias("src"), F.col("id").alias("dst"), F.concat(F.lit("chi_"), "deprel").alias("label"))
-    up = own.select(*SENT, F.col("id").alias("src"), F.col("head").alias("dst"), F.concat(F.lit("pa_"), "deprel").alias("label"))
-    return down.unionByName(up)
+    down = F.struct(F.col("head").alias("src"), F.col("id").alias("dst"), F.concat(F.lit("chi_"), "deprel").alias("label"), F.col("pos").alias("dst_pos"))
+    up = F.struct(F.col("id").alias("src"), F.col("head").alias("dst"), F.concat(F.lit("pa_"), "deprel").alias("label"), F.lit(None).cast("string").alias("dst_pos"))
+    return own.select(*SENT, F.explode(F.array(down, up)).alias("e")).select(*SENT, "e.*")
 
 
 def dangling(tokens: DataFrame) -> DataFrame:
@@ -47,22 +47,24 @@ def near(tokens: DataFrame, which: DataFrame) -> DataFrame:
     return tokens.join(which.select(*SENT).distinct(), SENT, "left_semi")
 
 
-def _start(which: DataFrame) -> DataFrame:
-    return which.select(*TARGET, F.col("target").alias("node"), F.array("target").alias("seen"), F.array().cast("array<string>").alias("labels"))
-
-
-def _step(level: DataFrame, links: DataFrame, visited: bool = True) -> DataFrame:
-    met = level.withColumnRenamed("node", "src").join(links, [*SENT, "src"])
-    if visited:
-        met = met.where(~F.array_contains("seen", F.col("dst")))
-    return met.select(*TARGET, F.col("dst").alias("node"), F.concat("seen", F.array("dst")).alias("seen"), F.concat("labels", F.array("label")).alias("labels"))
-
-
-def levels(which: DataFrame, links: DataFrame, depth: int) -> list[DataFrame]:
-    out = [_start(which)]
-    for _ in range(depth):
-        out.append(_step(out[-1], links))
-    return out
+def walks(which: DataFrame, links: DataFrame, depth: int, prefixes: bool = False) -> DataFrame:
+    """(target, seen, labels) of the walks of depth steps and of shorter ones that cannot go on, or of all of 1..depth steps."""
+    out = links.select(*SENT, F.col("src").alias("node"), "dst", "label")
+    rows = which.select(*TARGET, F.col("target").alias("node"), F.array("target").alias("seen"), F.array().cast("array<string>").alias("labels"), F.lit(True).alias("open"))
+    for i in range(depth):
+        on = [rows[c] == out[c] for c in [*SENT, "node"]] + [rows["open"], ~F.array_contains(rows["seen"], out["dst"])]
+        met = rows.join(out, on, "left").select(*[rows[c] for c in TARGET], rows["node"], "seen", "labels", "open", "dst", "label")
+        went = F.col("dst").isNotNull()
+        if prefixes:
+            met = met.where(went | ~F.col("open"))
+        rows = met.select(
+            *TARGET, F.coalesce("dst", "node").alias("node"), F.when(went, F.concat("seen", F.array("dst"))).otherwise(F.col("seen")).alias("seen"),
+            F.when(went, F.concat("labels", F.array("label"))).otherwise(F.col("labels")).alias("labels"), went.alias("open"),
+        )
+        if prefixes and i + 1 < depth:  # what a step reached is a result, and goes on
+            both = F.when(F.col("open"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+            rows = rows.select(*TARGET, "node", "seen", "labels", F.explode(both).alias("open"))
+    return rows.select(*TARGET, "seen", "labels").where(F.size("labels") > 0)
 
 
 def _named(frame: DataFrame) -> DataFrame:
@@ -71,42 +73,83 @@ def _named(frame: DataFrame) -> DataFrame:
 
 def prefix_paths(which: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     """Every path of 1..depth steps from a target, each occurrence a row."""
-    return _named(reduce(DataFrame.unionByName, levels(which, links, depth)[1:]))
+    return _named(walks(which, links, depth, prefixes=True))
 
 
 def terminal_paths(which: DataFrame, links: DataFrame, depth: int) -> DataFrame:
     """Paths of depth steps, and shorter ones that cannot go on."""
-    steps = levels(which, links, depth)
-    out = [steps[depth]]
-    for i in range(1, depth):
-        went = steps[i + 1].select(*TARGET, F.slice("seen", 1, i + 1).alias("seen"))
-        out.append(steps[i].join(went, [*TARGET, "seen"], "left_anti").select(*steps[i].columns))
-    return _named(reduce(DataFrame.unionByName, out))
+    return _named(walks(which, links, depth))
 
 
 def follow(which: DataFrame, links: DataFrame, labels: list[str]) -> DataFrame:
     """Nodes of the label sequence; steps may return to nodes already seen."""
-    level = _start(which)
-    for label in labels:
-        level = _step(level, links.where(F.col("label") == label), visited=False)
-    return level
+    found = along(which, links, [[Step(x, None) for x in labels]], visited=False)
+    return found.select(*TARGET, F.element_at("seen", -1).alias("node"), "seen", "labels")
 
 
-def path_matches(which: DataFrame, links: DataFrame, tokens: DataFrame, path) -> DataFrame:
-    """(target, seen, labels) of one template path."""
-    level = _start(which)
-    for step in path:
-        own = links.where(F.col("label") == step.relation)
-        if step.pos:
-            fit = tokens.where(F.col("pos").isin(list(step.pos))).select(*SENT, F.col("id").alias("dst"))
-            own = own.join(fit, [*SENT, "dst"], "left_semi")
-        level = _step(level, own.select(*SENT, "src", "dst", "label"))
-    return level.select(*TARGET, "seen", "labels")
+def along(which: DataFrame, links: DataFrame, chains: list, visited: bool = True) -> DataFrame:
+    """(target, path_ix, seen, labels) of the walks along chains of steps, all in one.
 
-
-def _having_all(matches: list[DataFrame]) -> DataFrame:
-    have = [m.select(*TARGET).distinct() for m in matches]
-    return reduce(lambda a, b: a.join(b, TARGET, "left_semi"), have)
+    A step's part of speech is tested where the edge tells it; see ``_of_pos`` for the others.
+    """
+    names = sorted({s.relation for c in chains for s in c})
+    out = links.where(F.col("label").isin(names)).select(*SENT, F.col("src").alias("node"), F.col("label").alias("rel"), "dst", "dst_pos")
+    step = lambda s: F.struct(F.lit(s.relation).alias("rel"), (F.array(*[F.lit(p) for p in s.pos]) if s.pos else F.lit(None).cast("array<string>")).alias("fit"))
+    listed = F.array(*[F.struct(F.lit(i).alias("path_ix"), F.array(*[step(s) for s in c]).alias("steps")) for i, c in enumerate(chains)])
+    none = F.array().cast("array<string>")
+    rows = which.select(*TARGET, F.explode(listed).alias("c")).select(*TARGET, F.col("target").alias("node"), "c.path_ix", "c.steps", F.array("target").alias("seen"), none.alias("labels"))
+    for i in range(max(len(c) for c in chains)):
+        # a row at its end asks for a relation that no edge has
+        rows = rows.withColumn("rel", F.coalesce(F.get("steps", i)["rel"], F.lit("")))
+        on = [rows[c] == out[c] for c in [*SENT, "node", "rel"]]
+        fit = F.get(rows["steps"], i)["fit"]
+        on.append(fit.isNull() | out["dst_pos"].isNull() | F.array_contains(fit, out["dst_pos"]))
+        if visited:
+            on.append(~F.array_contains(rows["seen"], out["dst"]))
+        alike = len({len(c) for c in chains}) == 1
+        met = rows.join(out, on, "inner" if alike else "left").select(*[rows[c] for c in TARGET], rows["node"], "path_ix", "steps", "seen", "labels", rows["rel"], "dst")
+        met = met if alike else met.where(F.col("dst").isNotNull() | (F.col("rel") == ""))
+        went = F.col("dst").isNotNull()
+        rows = met.select(
+            *TARGET, F.coalesce("dst", "node").alias("node"), "path_ix", "steps", F.when(went, F.concat("seen", F.array("dst"))).otherwise(F.col("seen")).alias("seen"),
+            F.when(went, F.concat("labels", F.array("rel"))).otherwise(F.col("labels")).alias("labels"),
+        )
+    return rows.select(*TARGET, "path_ix", "seen", "labels")
+
+
+def _of_pos(found: DataFrame, tokens: DataFrame, chains: list) -> DataFrame:
+    """Of the walks those whose steps to a head meet the part of speech asked for."""
+    for j in range(max(len(c) for c in chains)):
+        asked = [(i, c[j].pos) for i, c in enumerate(chains) if len(c) > j and c[j].pos and not c[j].relation.startswith("chi_")]
+        if not asked:
+            continue
+        own = tokens.select(*SENT, F.col("id").alias("_at"), F.col("pos").alias("_pos"))
+        met = found.withColumn("_at", F.get("seen", j + 1)).join(own, [*SENT, "_at"], "left")
+        ok = F.lit(True)
+        for i, pos in asked:
+            ok = ok & ((F.col("path_ix") != i) | F.coalesce(F.col("_pos").isin(list(pos)), F.lit(False)))
+        found = met.where(ok).select(*found.columns)
+    return found
+
+
+def _matches(which: DataFrame, space: DataFrame, template: Template, mode: str) -> DataFrame:
+    """The matches in ``space``, the tokens of the targets' sentences."""
+    if mode not in ("open", "closeh", "close"):
+        raise ValueError("mode must be open, closeh or close")
+    links, chains = edges(space), list(template.paths)
+    if mode == "closeh":
+        firsts = sorted({p[0].relation for p in chains})
+        own = which.join(links.select(*SENT, F.col("src").alias("target"), "label"), TARGET).groupBy(*TARGET).agg(F.bool_and(F.col("label").isin(firsts)).alias("only"), *[F.bool_or(F.col("label") == x).alias(f"has{i}") for i, x in enumerate(firsts)])
+        for c in ("only", *(f"has{i}" for i in range(len(firsts)))):
+            own = own.where(c)
+        which = own.select(*TARGET)
+    found = _of_pos(along(which, links, chains), space, chains)
+    if mode == "close":
+        return _closed([found.where(F.col("path_ix") == i).drop("path_ix") for i in range(len(chains))], links)
+    if len(chains) > 1:
+        have = F.size(F.collect_set("path_ix").over(Window.partitionBy(*TARGET)))
+        found = found.withColumn("have", have).where(F.col("have") == len(chains)).drop("have")
+    return found.distinct()
 
 
 def matched(which: DataFrame, tokens: DataFrame, template: Template, mode: str = "open") -> DataFrame:
@@ -116,20 +159,7 @@ def matched(which: DataFrame, tokens: DataFrame, template: Template, mode: str =
     first steps; close: some choice of one match a path explains every relation of every
     node in it, and only the matches of such choices count.
     """
-    if mode not in ("open", "closeh", "close"):
-        raise ValueError("mode must be open, closeh or close")
-    space = near(tokens, which)
-    links = edges(space)
-    matches = [path_matches(which, links, space, p) for p in template.paths]
-    good = _having_all(matches)
-    if mode == "closeh":
-        firsts = F.array_sort(F.array_distinct(F.array(*[F.lit(p[0].relation) for p in template.paths])))
-        direct = links.withColumnRenamed("src", "target").groupBy(*TARGET).agg(F.array_sort(F.collect_set("label")).alias("own")).where(F.col("own") == firsts)
-        good = good.join(direct, TARGET, "left_semi")
-    if mode == "close":
-        return _closed(matches, links)
-    tagged = [m.withColumn("path_ix", F.lit(i)) for i, m in enumerate(matches)]
-    return reduce(DataFrame.unionByName, tagged).join(good, TARGET, "left_semi").select(*TARGET, "path_ix", "seen", "labels").distinct()
+    return _matches(which, near(tokens, which), template, mode)
 
 
 def _closed(matches: list[DataFrame], links: DataFrame) -> DataFrame:
@@ -160,28 +190,32 @@ def sentences(tokens: DataFrame) -> DataFrame:
 
 def _reached(found: DataFrame, tokens: DataFrame, fmt: str) -> DataFrame:
     """A row for each node of each distinct match, with its filler and the path to it."""
-    node = F.explode(F.transform(F.slice("seen", 2, 10**6), lambda n, i: F.struct(n.alias("id"), F.concat(F.lit("> "), F.array_join(F.slice("labels", F.lit(1), i + 1), " > ")).alias("path"))))
-    rows = found.select(*TARGET, node.alias("x")).select(*TARGET, F.col("x.id").alias("id"), F.col("x.path").alias("path"))
-    return rows.join(tokens, [*SENT, "id"]).select(*TARGET, "id", filler(fmt).alias("sfillers"), "path")
+    own = found.dropDuplicates([*TARGET, "seen", "labels"])
+    node = F.transform(F.slice("seen", F.lit(2), F.size("seen")), lambda n, i: F.struct(n.alias("id"), F.concat(F.lit("> "), F.array_join(F.slice("labels", F.lit(1), i + 1), " > ")).alias("path")))
+    rows = own.select(*TARGET, F.explode(node).alias("x")).select(*TARGET, F.col("x.id").alias("id"), F.col("x.path").alias("path"))
+    return rows.join(tokens.select(*SENT, "id", filler(fmt).alias("sfillers")), [*SENT, "id"]).select(*TARGET, "id", "sfillers", "path")
 
 
 def relation_search(tokens: DataFrame, template: Template, lemma: str, pos: str | None = None, mode: str = "open", fmt: str = "lemma") -> DataFrame:
     """(sentence, target, id, sfillers, path) of each node reached; one path is always open."""
     which = targets(tokens, lemma, pos)
-    found = matched(which, tokens, template, "open" if len(template.paths) == 1 else mode)
-    return _reached(found, tokens, fmt)
+    space = near(tokens, which)
+    return _reached(_matches(which, space, template, "open" if len(template.paths) == 1 else mode), space, fmt)
 
 
 def construction_search(tokens: DataFrame, template: Template, mode: str = "open", fmt: str = "lemma") -> DataFrame:
     """The same around an anchor of the template's part of speech, with a row for the anchor."""
     which = targets(tokens, None, template.anchor)
-    found = matched(which, tokens, template, mode)
-    anchors = found.select(*TARGET).distinct().join(tokens.withColumn("target", F.col("id")), TARGET).select(*TARGET, "id", anchor_filler(fmt).alias("sfillers"), F.lit(template.anchor).alias("path"))
-    return _reached(found, tokens, fmt).unionByName(anchors)
+    space = near(tokens, which)
+    found = _matches(which, space, template, mode)
+    # the anchor is a node of its matches too: one join gives all fillers
+    own = found.groupBy(*TARGET).agg(F.collect_set(F.struct("seen", "labels")).alias("all"))
+    node = lambda m: F.transform(F.slice(m["seen"], F.lit(2), F.size(m["seen"])), lambda n, i: F.struct(n.alias("id"), F.concat(F.lit("> "), F.array_join(F.slice(m["labels"], F.lit(1), i + 1), " > ")).alias("path")))
+    each = F.concat(F.array(F.struct(F.col("target").alias("id"), F.lit(template.anchor).alias("path"))), F.flatten(F.transform("all", node)))
+    rows = own.select(*TARGET, F.explode(each).alias("x")).select(*TARGET, F.col("x.id").alias("id"), F.col("x.path").alias("path"))
+    met = rows.join(space.select(*SENT, "id", filler(fmt).alias("shown"), anchor_filler(fmt).alias("anchor")), [*SENT, "id"])
+    return met.select(*TARGET, "id", F.when(F.col("path") == template.anchor, F.col("anchor")).otherwise(F.col("shown")).alias("sfillers"), "path")
 
 
 def with_sentences(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     return rows.join(sentences(tokens), SENT)
-
-
-__all__ = ["SENT", "TARGET", "bare_relation", "construction_search", "dangling", "edges", "follow", "levels", "matched", "near", "path_matches", "prefix_paths", "relation_search", "sentences", "targets", "terminal_paths", "with_sentences"]

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftscope.functions.text import construction, feature_types, feature_values, filler, first_level, trimmed
 from shiftscope.operators import graph
 from shiftscope.operators.graph import SENT, TARGET
-from shiftscope.plans.templates import slot_columns
+from shiftscope.plans.templates import Step, slot_columns
 
 
 def from_table(frame: DataFrame, period, slots: dict[str, str], id_col: str, target: str = "") -> DataFrame:
@@ -43,21 +41,16 @@ def path_combos(tokens: DataFrame, lemma: str, pos: str | None = None, depth: in
 def slot_fillers(tokens: DataFrame, slots: str, lemma: str, pos: str | None = None, fmt: str = "lemma", filtered_pos: list[str] | None = None) -> DataFrame:
     """(id, period, target, slot, item): item is the fillers along one chain; a filtered part of speech leaves the chain, an empty chain goes."""
     which = graph.targets(tokens, lemma, pos)
+    listed = [(name, chain) for name, chains in slot_columns(slots) for chain in chains]
     space = graph.near(tokens, which)
-    links = graph.edges(space)
-    own = space.select(*SENT, F.col("id").alias("node"), F.col("pos").alias("node_pos"), filler(fmt).alias("shown"))
-    out = []
-    for name, chains in slot_columns(slots):
-        for chain in chains:
-            found = graph.follow(which, links, chain)
-            place = found.select(*TARGET, "seen", F.posexplode(F.slice("seen", 2, len(chain))).alias("ix", "node"))
-            if filtered_pos:
-                met = place.join(own, [*SENT, "node"]).where(~F.col("node_pos").isin(filtered_pos))
-            else:
-                met = place.join(own, [*SENT, "node"])
-            item = F.transform(F.array_sort(F.collect_list(F.struct("ix", "shown"))), lambda x: x["shown"])
-            out.append(met.groupBy(*TARGET, "seen").agg(item.alias("item")).select(F.concat_ws("/", F.lit(lemma), "file", "sent_seq", "target").alias("id"), "period", F.lit(lemma).alias("target"), F.lit(name).alias("slot"), "item"))
-    return reduce(DataFrame.unionByName, out)
+    found = graph.along(which, graph.edges(space), [[Step(x, None) for x in chain] for _, chain in listed], visited=False)
+    place = found.select(*TARGET, "path_ix", "seen", F.posexplode(F.slice("seen", F.lit(2), F.size("seen"))).alias("ix", "id"))
+    own = space.where(~F.col("pos").isin(filtered_pos)) if filtered_pos else space
+    met = place.join(own.select(*SENT, "id", filler(fmt).alias("shown")), [*SENT, "id"])
+    item = F.transform(F.array_sort(F.collect_list(F.struct("ix", "shown"))), lambda x: x["shown"])
+    slot = F.get(F.array(*[F.lit(name) for name, _ in listed]), F.col("path_ix"))
+    rows = met.groupBy(*TARGET, "path_ix", "seen").agg(item.alias("item"))
+    return rows.select(F.concat_ws("/", F.lit(lemma), "file", "sent_seq", "target").alias("id"), "period", F.lit(lemma).alias("target"), slot.alias("slot"), "item")
 
 
 def wide(obs: DataFrame, slots: list[str] | None = None) -> DataFrame:
@@ -150,7 +143,7 @@ def empty_ids(tokens_ids: DataFrame, obs: DataFrame) -> DataFrame:
 
 def contexts(tokens: DataFrame, which: DataFrame, mark: str = "<TAR>") -> DataFrame:
     """(sentence, target, context) with the target's form between marks."""
-    space = graph.near(tokens, which).join(which, SENT)
+    space = tokens.join(which, SENT)
     shown = F.when(F.col("id") == F.col("target"), F.concat_ws(" ", F.lit(mark), "form", F.lit(mark))).otherwise(F.col("form"))
     line = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("id").cast("int").alias("i"), shown.alias("w")))), lambda x: x["w"]), " ")
     return space.groupBy(*TARGET).agg(line.alias("context"))

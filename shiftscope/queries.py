@@ -2,7 +2,7 @@
 
 Any categorical column is a slot: the tables give periods (ship year, order year, day of an
 event, language) and items.  The parse of ``documents`` is a device of these queries only:
-lower-case words, head = place div 2, relation and part of speech from the word's length.
+lower-case words of letters of any script, head = place div 2, relation and part of speech from the word's length.
 """
 
 from __future__ import annotations
@@ -213,7 +213,7 @@ _add("perm_test")(lambda s, d: signif.permutation_test(order_obs(s, d), "tvd", n
 
 def parsed(spark, d) -> DataFrame:
     docs = _read(spark, d, "documents")
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " "), " "), lambda w: w != "")
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+", " "), " "), lambda w: w != "")
     flat = docs.select(F.col("lang").alias("period"), F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("sent_seq"), F.posexplode(words).alias("i", "lemma"))
     size = F.length("lemma")
     return flat.select(
@@ -224,8 +224,8 @@ def parsed(spark, d) -> DataFrame:
     )
 
 
-TOK = """tok AS MATERIALIZED (SELECT period, file, CAST(i AS BIGINT) AS id, CAST(i // 2 AS BIGINT) AS head, lemma, ['NOUN', 'VERB', 'ADJ', 'X'][length(lemma) % 4 + 1] AS pos, 'r' || (length(lemma) % 4) AS deprel
-  FROM (SELECT lang AS period, CAST(doc_id AS VARCHAR) AS file, unnest(w) AS lemma, generate_subscripts(w, 1) AS i FROM (SELECT lang, doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents)))"""
+TOK = r"""tok AS MATERIALIZED (SELECT period, file, CAST(i AS BIGINT) AS id, CAST(i // 2 AS BIGINT) AS head, lemma, ['NOUN', 'VERB', 'ADJ', 'X'][length(lemma) % 4 + 1] AS pos, 'r' || (length(lemma) % 4) AS deprel
+  FROM (SELECT lang AS period, CAST(doc_id AS VARCHAR) AS file, unnest(w) AS lemma, generate_subscripts(w, 1) AS i FROM (SELECT lang, doc_id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents)))"""
 EDGE = ", e AS MATERIALIZED (SELECT file, head AS src, id AS dst, 'chi_' || deprel AS label FROM tok WHERE head > 0 UNION ALL SELECT file, id, head, 'pa_' || deprel FROM tok WHERE head > 0)"
 WORD, RARE = "the", "trash"
 TGT = f", tgt AS (SELECT period, file, id FROM tok WHERE lemma = '{WORD}'), l1 AS (SELECT t.period, t.file, t.id AS target, e.dst AS n1, e.label AS a FROM tgt t JOIN e ON e.file = t.file AND e.src = t.id), l2 AS (SELECT l1.*, e.dst AS n2, e.label AS b FROM l1 JOIN e ON e.file = l1.file AND e.src = l1.n1 WHERE e.dst <> l1.target AND e.dst <> l1.n1)"
