@@ -42,12 +42,21 @@ def normalised(counts: DataFrame, totals: DataFrame) -> DataFrame:
     return met.select("period", "slot", "count", (F.col("count") / total).alias("per_token"))
 
 
-def top_union(counts: DataFrame, n: int) -> DataFrame:
-    """Dense counts of the slots that are among a period's n most frequent (ties by name) in any period."""
+def top_union(counts: DataFrame, n: int, show: str = "raw", totals: DataFrame | None = None) -> DataFrame:
+    """Dense counts of the slots that are among a period's n most frequent (ties by name) in any period.
+
+    ``show``: "raw"; "relative" adds the share of the period's total within the union, 0 in an
+    empty period; "normalised" adds the count by the period's token total in ``totals``.
+    """
+    if show not in ("raw", "relative", "normalised"):
+        raise ValueError("show must be 'raw', 'relative' or 'normalised'")
+    if show == "normalised" and totals is None:
+        raise ValueError("normalised counts need the periods' totals")
     cells = dense(counts)
     rank = F.row_number().over(Window.partitionBy("period").orderBy(F.desc("count"), "slot"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= n).select("slot").distinct()
-    return cells.join(top, "slot", "left_semi").select("period", "slot", "count")
+    out = cells.join(top, "slot", "left_semi").select("period", "slot", "count")
+    return out if show == "raw" else relative(out) if show == "relative" else normalised(out, totals)
 
 
 def top_fillers(obs: DataFrame, n: int) -> DataFrame:

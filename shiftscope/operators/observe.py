@@ -97,12 +97,27 @@ def trim_and_merge(combos: DataFrame, excluded: list[str]) -> DataFrame:
 
 
 def specialisations(combos: DataFrame) -> DataFrame:
-    """(period, group_id, slot_combs, frequency, specialisations): combos by their set of first-level slots."""
+    """(period, group_id, slot_combs, frequency, specialisations): combos by their set of first-level slots.
+
+    Groups are numbered within a period, and their members listed, in the order in which the
+    combos table has them: falling frequency, target, slots.  Combos without slots are in no group.
+    """
+    require(combos, "period", "frequency", "target", "slots")
     key = F.array_sort(F.array_distinct(F.transform("slots", first_level)))
-    own = combos.withColumn("slot_combs", key)
-    out = own.groupBy("period", "slot_combs").agg(F.sum("frequency").alias("frequency"), F.array_sort(F.collect_list(F.struct(F.col("slots").alias("specialisation"), "frequency"))).alias("specialisations"))
-    place = F.dense_rank().over(Window.partitionBy("period").orderBy(F.desc("frequency"), "slot_combs"))
-    return out.withColumn("group_id", place)
+    own = combos.where(F.size("slots") > 0).withColumn("slot_combs", key)
+    member = F.struct((-F.col("frequency")).alias("k"), "target", F.col("slots").alias("specialisation"), "frequency")
+    out = own.groupBy("period", "slot_combs").agg(F.sum("frequency").alias("frequency"), F.array_sort(F.collect_list(member)).alias("members"))
+    first = F.get("members", 0)
+    place = F.row_number().over(Window.partitionBy("period").orderBy(first["k"], first["target"], first["specialisation"]))
+    members = F.transform("members", lambda m: F.struct(m["specialisation"].alias("specialisation"), m["frequency"].alias("frequency")))
+    return out.withColumn("group_id", place).select("period", "group_id", "slot_combs", "frequency", members.alias("specialisations"))
+
+
+def require(frame: DataFrame, *columns: str) -> None:
+    """A table without one of the columns is an error."""
+    missing = [c for c in columns if c not in frame.columns]
+    if missing:
+        raise ValueError(f"the table lacks the columns {missing}")
 
 
 def feature_counts(tokens: DataFrame, lemma: str | None = None, pos: str | None = None) -> DataFrame:
@@ -120,9 +135,32 @@ def features(tokens: DataFrame, lemma: str | None = None, pos: str | None = None
     return each.select("id", "period", "target", F.col("x.type").alias("slot"), F.col("x.value").alias("item"))
 
 
-def merge_slots(obs: DataFrame, formula: dict[str, list[str]], dedupe: bool = False, keep_sources: bool = False) -> tuple[DataFrame, list[str]]:
-    """Observations with slots renamed by formula {new: [old, ...]}; also the old slots that no row has."""
-    spark = obs.sparkSession
+def formula_of(formula) -> dict[str, list[str]]:
+    """A merge formula in any of its forms: {new: old or [old, ...]}, pairs (new, olds), or records with
+    output / new_column / target and columns / source_columns / sources."""
+    if isinstance(formula, dict):
+        pairs = list(formula.items())
+    else:
+        pairs = []
+        for spec in formula:
+            if isinstance(spec, dict):
+                new = next((spec[k] for k in ("output", "new_column", "target") if spec.get(k)), None)
+                olds = next((spec[k] for k in ("columns", "source_columns", "sources") if spec.get(k)), None)
+                if new is None or olds is None:
+                    raise ValueError("a record of a merge formula needs a name for the result and its sources")
+                pairs.append((new, olds))
+            else:
+                new, olds = spec
+                pairs.append((new, olds))
+    out: dict[str, list[str]] = {}
+    for new, olds in pairs:
+        out.setdefault(new, []).extend([olds] if isinstance(olds, str) else list(olds))
+    return out
+
+
+def merge_slots(obs: DataFrame, formula, dedupe: bool = False, keep_sources: bool = False) -> tuple[DataFrame, list[str]]:
+    """Observations with slots renamed by a formula (see ``formula_of``); also the old slots that no row has."""
+    spark, formula = obs.sparkSession, formula_of(formula)
     pairs = spark.createDataFrame([(old, new) for new, olds in formula.items() for old in olds], "slot string, new_slot string")
     missing = [r.slot for r in pairs.select("slot").distinct().join(obs.select("slot").distinct(), "slot", "left_anti").collect()]  # names of the formula
     moved = obs.join(F.broadcast(pairs), "slot").drop("slot").withColumnRenamed("new_slot", "slot").select(*obs.columns)  # as many rows as the formula has names
@@ -136,6 +174,20 @@ def pick_slots(obs: DataFrame, slots: list[str]) -> DataFrame:
     return obs.where(F.col("slot").isin(slots))
 
 
+def cell_sizes(wide_table: DataFrame, keys: tuple[str, ...] = ("id", "period", "target")) -> DataFrame:
+    """The wide form with the number of items of each cell in place of the cell."""
+    return wide_table.select(*keys, *[F.coalesce(F.size(F.col(f"`{c}`")), F.lit(0)).alias(c) for c in wide_table.columns if c not in keys])
+
+
+def non_empty(wide_table: DataFrame, slots: list[str]) -> DataFrame:
+    """Rows of the wide form with an item in any of the slots."""
+    has = [F.coalesce(F.size(F.col(f"`{c}`")) > 0, F.lit(False)) for c in slots]
+    cond = has[0]
+    for h in has[1:]:
+        cond = cond | h
+    return wide_table.where(cond)
+
+
 def empty_ids(tokens_ids: DataFrame, obs: DataFrame) -> DataFrame:
     """Ids without any observation."""
     return tokens_ids.join(obs.select("id").distinct(), "id", "left_anti")

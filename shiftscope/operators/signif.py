@@ -8,8 +8,6 @@ falls into the earlier period, ``null="full"`` keeps all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,9 +23,10 @@ RESULT = (
 
 
 def fdr(tests: DataFrame, alpha: float = 0.05, by: str = "slot", p_col: str = "p_value") -> DataFrame:
-    """Adds q_value and significant_fdr (Benjamini and Yekutieli) and significant_raw within each slot; null p-values take no part."""
-    w = Window.partitionBy(by, F.col(p_col).isNull()).orderBy(p_col)
-    group = Window.partitionBy(by, F.col(p_col).isNull())
+    """Adds q_value and significant_fdr (Benjamini and Yekutieli) and significant_raw within each slot; null and NaN p-values take no part."""
+    out_ = F.col(p_col).isNull() | F.isnan(F.col(p_col).cast("double"))
+    w = Window.partitionBy(by, out_).orderBy(p_col)
+    group = Window.partitionBy(by, out_)
     rank = F.row_number().over(w)
     m = F.count(F.lit(1)).over(group)
     ranked = tests.withColumn("_r", rank).withColumn("_m", m)
@@ -35,10 +34,10 @@ def fdr(tests: DataFrame, alpha: float = 0.05, by: str = "slot", p_col: str = "p
     harmonic = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda a, i: a + 1 / i)
     sizes = ranked.select("_m").distinct().withColumn("_h", harmonic)
     ranked = ranked.join(sizes, "_m").withColumn("_u", F.col(p_col) * F.col("_m") * F.col("_h") / F.col("_r"))
-    back = Window.partitionBy(by, F.col(p_col).isNull()).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.when(F.col(p_col).isNotNull(), F.least(F.lit(1.0), F.min("_u").over(back)))
+    back = Window.partitionBy(by, out_).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.when(~out_, F.least(F.lit(1.0), F.min("_u").over(back)))
     out = ranked.withColumn("q_value", q).drop("_r", "_m", "_h", "_u")
-    return out.withColumn("significant_raw", F.coalesce(F.col(p_col) <= alpha, F.lit(False))).withColumn("significant_fdr", F.coalesce(F.col("q_value") <= alpha, F.lit(False)))
+    return out.withColumn("significant_raw", F.coalesce(~out_ & (F.col(p_col) <= alpha), F.lit(False))).withColumn("significant_fdr", F.coalesce(F.col("q_value") <= alpha, F.lit(False)))
 
 
 def fdr_summary(corrected: DataFrame, by: str = "slot") -> DataFrame:
@@ -94,13 +93,17 @@ def permutation_test(obs: DataFrame, which: str = "tvd", periods=None, n_permuta
     spark = obs.sparkSession
     seeds_df = spark.createDataFrame(jobs, "period_1 string, period_2 string, chunk int, seeds array<long>")
     pairs = seeds_df.select("period_1", "period_2").distinct()
+    place = F.explode(F.array(F.struct(F.col("period_1").alias("period"), F.lit(True).alias("first")), F.struct(F.col("period_2").alias("period"), F.lit(False).alias("first")))).alias("x")
+    sides = pairs.select("period_1", "period_2", place).select("period_1", "period_2", "x.period", "x.first")  # two rows a pair of periods
     own = obs.select(F.col("slot").cast("string").alias("slot"), F.col("period").cast("string").alias("period"), F.col("item").cast("string").alias("item"), (F.col(order_col) if order_col else F.lit(0)).cast("long").alias("ix"))
-    sided = own.join(F.broadcast(pairs), (own.period == pairs.period_1) | (own.period == pairs.period_2))
-    if null == "full":
-        rows = sided.groupBy("slot", "period_1", "period_2", "item").agg(F.count_if(F.col("period") == F.col("period_1")).alias("a"), F.count_if(F.col("period") == F.col("period_2")).alias("b")).where(F.col("a") + F.col("b") >= min_freq)
+    if null == "full":  # counts first: occurrences are never repeated by pair
+        counts = own.groupBy("slot", "period", "item").agg(F.count("*").alias("n"))
+        sided = counts.join(F.broadcast(sides), "period")
+        rows = sided.groupBy("slot", "period_1", "period_2", "item").agg(F.sum(F.when(F.col("first"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("first"), 0).otherwise(F.col("n"))).alias("b")).where(F.col("a") + F.col("b") >= min_freq)
         keys = ["slot", "period_1", "period_2", "chunk"]
         schema = "slot string, period_1 string, period_2 string, observed double, support double, value double"
     else:
+        sided = own.join(F.broadcast(sides), "period")
         w = Window.partitionBy("slot", "period_1", "period_2", "item")
         rows = sided.withColumn("mixed", F.count(F.lit(1)).over(w)).where(F.col("mixed") >= min_freq).select("slot", "period_1", "period_2", "period", "item", "ix")
         keys = ["period_1", "period_2", "chunk"]
@@ -175,8 +178,18 @@ def shuffled_periods(obs: DataFrame, seed: int = 42) -> DataFrame:
     return marked.drop("period", "_b").join(labels, ["slot", "_a"]).drop("_a")
 
 
-def rows_of(frames: Iterator[DataFrame]) -> DataFrame:
-    first, *rest = frames
-    for f in rest:
-        first = first.unionByName(f)
-    return first
+def keyed(dist: DataFrame, value: str = "dist") -> DataFrame:
+    """(slot, period_1, period_2, observed) of a distance table; a missing column is an error."""
+    missing = {"slot", "period_1", "period_2", value} - set(dist.columns)
+    if missing:
+        raise ValueError(f"the distance table lacks {sorted(missing)}")
+    return dist.select("slot", "period_1", "period_2", F.col(value).cast("double").alias("observed"))
+
+
+def for_transitions(dist: DataFrame, tests: DataFrame, value: str = "dist") -> DataFrame:
+    """The rows of a permutation test for the transitions of a distance table, whose values must be the observed ones."""
+    own = keyed(dist, value).withColumnRenamed("observed", "_given")
+    met = tests.join(own, ["slot", "period_1", "period_2"])
+    off = F.abs(F.col("observed") - F.col("_given")) > 1e-9
+    checked = F.when(off, F.raise_error(F.lit("the distance table is not that of these observations")).cast("double")).otherwise(F.col("observed"))
+    return met.withColumn("observed", checked).drop("_given")

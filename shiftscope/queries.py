@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shiftscope.functions.text import first_level, unit
+from shiftscope.functions.text import bare_relation, filler, first_level, transition, unit
 from shiftscope.operators import cluster, distance, embed, freq, graph, observe, signif
 from shiftscope.plans.templates import construction_template, relation_template
+from shiftscope.sources import corpus, sinks, vectors
+from shiftscope.sources.folders import work_folder
 
 DIGITS = 9
 Query = Callable[[SparkSession, str], DataFrame]
@@ -264,10 +266,12 @@ CUT = "list_sort(list_distinct(list_filter(list_transform(slots, lambda p: CASE
 _add("trim_merge", BASE + TERM + COMBO2 + f", tr AS (SELECT period, {CUT} AS s, frequency FROM co) SELECT period, '{WORD}' AS target, array_to_string(s, ' & ') AS slots, CAST(sum(frequency) AS BIGINT) AS frequency FROM tr WHERE len(s) > 0 GROUP BY ALL")(
     lambda s, d: observe.trim_and_merge(combos(s, d), ["pa_r1"]).withColumn("slots", F.array_join("slots", " & "))
 )
-_add("spe_group", BASE + TERM + COMBO2 + """, sg AS (SELECT period, list_sort(list_distinct(list_transform(slots, lambda p: trim(string_split(substr(p, 3), ' > ')[1])))) AS key, frequency FROM co),
-sk AS (SELECT period, array_to_string(key, ' & ') AS slot_combs, CAST(sum(frequency) AS BIGINT) AS frequency, count(*) AS members FROM sg GROUP BY ALL)
-SELECT period, slot_combs, frequency, members FROM sk""")(
-    lambda s, d: observe.specialisations(combos(s, d)).select("period", F.array_join("slot_combs", " & ").alias("slot_combs"), "frequency", F.size("specialisations").cast("long").alias("members"))
+GROUPS = """, og AS (SELECT period, slots, frequency, list_sort(list_distinct(list_transform(slots, lambda p: trim(string_split(substr(p, 3), ' > ')[1])))) AS key, row_number() OVER (PARTITION BY period ORDER BY frequency DESC, slots) AS place FROM co WHERE len(slots) > 0),
+gr AS (SELECT period, array_to_string(key, ' & ') AS slot_combs, CAST(sum(frequency) AS BIGINT) AS frequency, string_agg(array_to_string(slots, ' & ') || '=' || frequency, ' ; ' ORDER BY place) AS members, min(place) AS place FROM og GROUP BY ALL),
+gi AS (SELECT period, row_number() OVER (PARTITION BY period ORDER BY place) AS group_id, slot_combs, frequency, members FROM gr)"""
+_members = lambda: F.array_join(F.transform("specialisations", lambda m: F.concat_ws("=", F.array_join(m["specialisation"], " & "), m["frequency"].cast("string"))), " ; ").alias("members")
+_add("spe_group", BASE + TERM + COMBO2 + GROUPS + " SELECT period, CAST(group_id AS BIGINT) AS group_id, slot_combs, frequency, members FROM gi")(
+    lambda s, d: observe.specialisations(combos(s, d)).select("period", F.col("group_id").cast("long").alias("group_id"), F.array_join("slot_combs", " & ").alias("slot_combs"), "frequency", _members())
 )
 _add("construction_rows", BASE + TERM + COMBO2 + " SELECT period, array_to_string(slots, ' & ') AS item, CAST(sum(frequency) AS BIGINT) AS weight FROM co GROUP BY ALL")(
     lambda s, d: observe.construction_rows(combos(s, d)).groupBy("period", "item").agg(F.sum("weight").alias("weight"))
@@ -325,6 +329,117 @@ _add("feat_table", f"WITH {TOK} SELECT period, x.slot AS slot, x.item AS item, c
 _add("sentence_lines", f"WITH {TOK} SELECT file, string_agg(lemma, ' ' ORDER BY id) AS line FROM tok WHERE pos <> 'X' GROUP BY file")(lambda s, d: observe.sentence_lines(parsed(s, d).withColumn("pos", F.when(F.col("pos") == "X", "PUNCT").otherwise(F.col("pos")))).select("file", "line"))
 _add("type_rows", f"SELECT period, slot AS item, 'type' AS slot, CAST(count AS BIGINT) AS weight FROM ({EVENT}) WHERE slot <> 'click'")(lambda s, d: observe.type_rows(event_counts(s, d), "event", ["click"]).select("period", "item", "slot", "weight"))
 
+# sentences of three words: a head and its two dependents
+SHORT = ("WITH " + TOK + ", sh AS (SELECT period, file, (id - 1) // 3 AS sent, (id - 1) % 3 + 1 AS place, lemma, pos, deprel FROM tok)")
+
+
+def short_sentences(s, d) -> DataFrame:
+    place = F.col("id").cast("int") - 1
+    own = parsed(s, d).withColumn("sent_seq", F.floor(place / 3).cast("int"))
+    return own.withColumn("id", (place % 3 + 1).cast("string")).withColumn("head", F.when(place % 3 == 0, "0").otherwise("1"))
+
+
+_add("rel_close_short", SHORT + f""", hit AS (SELECT h.period, h.file, h.sent, a.lemma AS la, a.deprel AS da, b.lemma AS lb, b.deprel AS db FROM sh h JOIN sh a ON a.file = h.file AND a.sent = h.sent AND a.place = 2 JOIN sh b ON b.file = h.file AND b.sent = h.sent AND b.place = 3
+  WHERE h.place = 1 AND h.lemma = '{WORD}' AND list_sort([a.deprel, b.deprel]) = ['r1', 'r3']) SELECT period, file, sent AS sent_seq, la AS sfillers, '> chi_' || da AS path FROM hit UNION ALL SELECT period, file, sent, lb, '> chi_' || db FROM hit""")(
+    lambda s, d: graph.relation_search(short_sentences(s, d), relation_template(TWO), WORD, mode="close").select("period", "file", F.col("sent_seq").cast("long").alias("sent_seq"), "sfillers", "path")
+)
+_add("rel_head_pos", BASE + " SELECT l1.period, l1.file, CAST(target AS VARCHAR) AS target, k.lemma || '/' || k.deprel AS sfillers, '> ' || a AS path FROM l1 JOIN tok k ON k.file = l1.file AND k.id = n1 WHERE a = 'pa_r3' AND k.pos = 'VERB'")(
+    lambda s, d: graph.relation_search(parsed(s, d), relation_template("> (pa_r3, [VERB])"), WORD, fmt="lemma/deprel").select("period", "file", "target", "sfillers", "path")
+)
+_add("sfiller_filtered_pos", SF.replace("lm AS MATERIALIZED (SELECT file || ':' || id AS k, lemma FROM tok)", "lm AS MATERIALIZED (SELECT file || ':' || id AS k, lemma || '/' || pos AS lemma FROM tok WHERE pos <> 'VERB')") + " SELECT id, period, slot, item FROM sf")(
+    lambda s, d: observe.slot_fillers(parsed(s, d), "[chi_r1][pa_r3 > chi_r3]", WORD, fmt="lemma/pos", filtered_pos=["VERB"]).select("id", "period", "slot", F.array_join("item", "|").alias("item"))
+)
+_add("sfiller_alternatives", BASE + " SELECT period, k.lemma AS item, count(*) AS count FROM l1 JOIN tok k USING (period, file) WHERE k.id = n1 AND a IN ('chi_r1', 'pa_r3') GROUP BY ALL")(
+    lambda s, d: observe.slot_fillers(parsed(s, d), "[chi_r1 | pa_r3]", WORD).select("period", F.array_join("item", "|").alias("item")).groupBy("period", "item").agg(F.count("*").alias("count"))
+)
+_add("path_combos_excluded", BASE + TERM + COMBO2 + f", tr AS (SELECT period, {CUT} AS s, frequency FROM co) SELECT period, array_to_string(s, ' & ') AS slots, CAST(sum(frequency) AS BIGINT) AS frequency FROM tr WHERE len(s) > 0 GROUP BY ALL")(
+    lambda s, d: observe.path_combos(parsed(s, d), WORD, depth=2, excluded=["pa_r1"]).select("period", F.array_join("slots", " & ").alias("slots"), "frequency")
+)
+_add("fillers_exploded", SF + " SELECT id, period, slot, item FROM sf")(
+    lambda s, d: observe.long(observe.wide(_sf(s, d), ["chi_r1", "pa_r3 > chi_r3"])).select("id", "period", "slot", "item")
+)
+_add("cell_sizes", SF + " SELECT id, period, count(*) FILTER (slot = 'chi_r1') AS first, count(*) FILTER (slot <> 'chi_r1') AS second FROM sf GROUP BY ALL HAVING second > 0")(
+    lambda s, d: observe.cell_sizes(observe.non_empty(observe.wide(_sf(s, d), ["chi_r1", "pa_r3 > chi_r3"]), ["pa_r3 > chi_r3"])).select("id", "period", F.col("chi_r1").cast("long").alias("first"), F.col("`pa_r3 > chi_r3`").cast("long").alias("second"))
+)
+_add("type_rows_expanded", f"WITH c AS ({EVENT}) SELECT period || '_' || row_number() OVER (PARTITION BY period ORDER BY slot) AS id, period, slot AS item FROM c, range(CAST(count AS BIGINT)) WHERE slot <> 'click'")(
+    lambda s, d: observe.type_rows(event_counts(s, d), "event", ["click"], expand=True).select("id", "period", "item")
+)
+_add("filler_formats", f"WITH {TOK} SELECT period, lemma AS token, lemma || '/' || pos AS with_pos, lemma || '/' || deprel AS with_deprel, deprel AS bare, count(*) AS count FROM tok WHERE lemma LIKE 'th%' GROUP BY ALL")(
+    lambda s, d: parsed(s, d).where(F.startswith("lemma", F.lit("th"))).groupBy("period", filler("token").alias("token"), filler("token/pos").alias("with_pos"), filler("lemma/deprel").alias("with_deprel"), bare_relation(F.concat(F.lit("chi_"), "deprel")).alias("bare")).agg(F.count("*").alias("count"))
+)
+_add("transitions", f"SELECT 's' AS slot, period || ' vs ' || nxt AS label FROM (SELECT period, lead(period) OVER (ORDER BY period) AS nxt FROM (SELECT DISTINCT period FROM ({SHIP}))) WHERE nxt IS NOT NULL")(
+    lambda s, d: distance.distances(ship_obs(s, d).where("slot = 'linestatus'"), ("tvd",)).select(F.lit("s").alias("slot"), transition().alias("label"))
+)
+_add("top_union_relative", DENSE + f", r AS (SELECT DISTINCT slot FROM (SELECT slot, row_number() OVER (PARTITION BY period ORDER BY count DESC, slot) AS k FROM c) WHERE k <= 2) SELECT period, slot, count, round(count / sum(count) OVER (PARTITION BY period), {DIGITS}) + 0.0 AS share FROM f WHERE slot IN (SELECT slot FROM r)")(
+    lambda s, d: _round(freq.top_union(event_counts(s, d), 2, "relative"), "share")
+)
+_add("top_union_normalised", DENSE + f", t AS (SELECT strftime(ts, '%Y-%m-%d') AS period, count(*) AS total FROM events GROUP BY ALL), r AS (SELECT DISTINCT slot FROM (SELECT slot, row_number() OVER (PARTITION BY period ORDER BY count DESC, slot) AS k FROM c) WHERE k <= 2) SELECT period, slot, count, round(count / total, {DIGITS}) + 0.0 AS per_token FROM f JOIN t USING (period) WHERE slot IN (SELECT slot FROM r)")(
+    lambda s, d: _round(freq.top_union(event_counts(s, d), 2, "normalised", _read(s, d, "events").groupBy(F.date_format("ts", "yyyy_MM_dd").alias("period")).agg(F.count("*").alias("total"))), "per_token")
+)
+_add("contrib_weighted", _contrib_sql("jsd", 5).replace(f"round(x, {DIGITS}) + 0.0 AS contribution, round(dist, {DIGITS}) + 0.0 AS dist", f"round(x * least(1.0, least(na, nb) / 900.0), {DIGITS}) + 0.0 AS contribution, round(dist * least(1.0, least(na, nb) / 900.0), {DIGITS}) + 0.0 AS dist"))(
+    lambda s, d: _round(distance.contributions(brand_obs(s, d), "jsd", 5, k=900), "contribution", "dist")
+)
+# what a permutation test knows before it draws: observed values, numbers of permutations, margins that stay
+_add("perm_observed", _aligned(ORDER, "all", 3) + f"SELECT slot, period_1, period_2, round({SCORE['tvd']} * {WEIGHT.format(k=2500.0)}, {DIGITS}) + 0.0 AS observed, 40 AS n_permutations FROM u GROUP BY slot, period_1, period_2")(
+    lambda s, d: _round(signif.for_transitions(distance.weighted_distances(order_obs(s, d), "tvd", k=2500, min_freq=3), signif.permutation_test(order_obs(s, d), "tvd", n_permutations=40, k=2500, min_freq=3), "weighted_dist").select("slot", "period_1", "period_2", "observed", "n_permutations"), "observed")
+)
+_add("shuffled_margins", f"SELECT slot, period, item, count(*) OVER (PARTITION BY slot, period) AS in_period, count(*) OVER (PARTITION BY slot, item) AS of_item FROM ({ORDER}) QUALIFY row_number() OVER (PARTITION BY slot, period, item) = 1")(
+    lambda s, d: _margins(signif.shuffled_periods(order_obs(s, d)))
+)
+
+
+def _margins(obs: DataFrame) -> DataFrame:
+    """Margins after a shuffle; every cell of these tables is met in both."""
+    counts = obs.groupBy("slot", "period", "item").agg(F.count("*").alias("n"))
+    by = lambda c: F.sum("n").over(Window.partitionBy("slot", c))
+    return counts.select("slot", "period", "item", by("period").alias("in_period"), by("item").alias("of_item"))
+
+
+# ---------------------------------------------------------------- written and read again
+
+def _back(spark, write, read, kind: str):
+    """What is read from a new folder of the shared storage after it was written there."""
+    path = work_folder(spark, kind)
+    write(path)
+    return read(path)
+
+
+@_add("corpus_files", f"WITH {TOK} SELECT period, CAST(count(*) AS BIGINT) AS tokens, count(DISTINCT file) AS sentences, count(DISTINCT lemma || '/' || pos || '/' || deprel) AS kinds, CAST(sum(id) AS BIGINT) AS ids, CAST(sum(head) AS BIGINT) AS heads FROM tok GROUP BY period")
+def _corpus(s, d):
+    own = _back(s, lambda p: sinks.write_corpus(parsed(s, d), p), lambda p: corpus.read_tokens(s, p), "corpus")
+    return own.groupBy("period").agg(
+        F.count("*").alias("tokens"), F.count_distinct("sent_id").alias("sentences"), F.count_distinct(F.concat_ws("/", "lemma", "pos", "deprel")).alias("kinds"),
+        F.sum(F.col("id").cast("long")).alias("ids"), F.sum(F.col("head").cast("long")).alias("heads"),
+    )
+
+
+LINES = f"WITH {TOK} SELECT period, count(DISTINCT file) AS lines, count(*) AS words, CAST(sum(length(lemma)) AS BIGINT) AS letters FROM tok GROUP BY period"
+
+
+def _line_sums(lines: DataFrame) -> DataFrame:
+    words = F.split("line", " ")
+    return lines.groupBy("period").agg(F.count("*").alias("lines"), F.sum(F.size(words).cast("long")).alias("words"), F.sum((F.length("line") - F.size(words) + 1).cast("long")).alias("letters"))
+
+
+_add("training_files", LINES)(lambda s, d: _line_sums(_back(s, lambda p: sinks.write_merged(observe.sentence_lines(parsed(s, d)), p), lambda p: vectors.training_lines(s, p), "merged")))
+_add("sentence_files", LINES)(lambda s, d: _line_sums(_back(s, lambda p: sinks.write_sentences(observe.sentence_lines(parsed(s, d)), p), lambda p: corpus.read_sentences(s, p), "lines")))
+_add("corpus_tasks", f"WITH {TOK} SELECT period, count(*) > 0 AS any_file FROM tok GROUP BY period")(
+    lambda s, d: _back(s, lambda p: sinks.write_sentences(observe.sentence_lines(parsed(s, d)), p), lambda p: corpus.files(s, p), "tasks").groupBy("period").agg((F.count("*") > 0).alias("any_file"))
+)
+_add("period_counts_file", EVENT)(lambda s, d: _back(s, lambda p: sinks.write_period_counts(event_counts(s, d), p), lambda p: corpus.read_period_counts(s, p), "counts"))
+_add("combos_file", BASE + TERM + COMBO2 + f" SELECT period, '{WORD}' AS target, array_to_string(slots, ' & ') AS slots, frequency FROM co")(
+    lambda s, d: _back(s, lambda p: sinks.write_combos(combos(s, d), p), lambda p: corpus.read_combos(s, p), "combos").select("period", "target", F.array_join("slots", " & ").alias("slots"), "frequency")
+)
+_add("groups_file", BASE + TERM + COMBO2 + GROUPS + " SELECT period, period || '_node_' || group_id AS id, slot_combs, frequency, members FROM gi")(
+    lambda s, d: _back(s, lambda p: sinks.write_groups(observe.specialisations(combos(s, d)), p), lambda p: corpus.read_groups(s, p), "groups").select("period", "id", F.array_join("slot_combs", " & ").alias("slot_combs"), "frequency", _members())
+)
+_add("fillers_file", SF + " SELECT id, period, slot, item FROM sf")(
+    lambda s, d: _back(s, lambda p: sinks.write_fillers(observe.wide(observe.slot_fillers(parsed(s, d), "[chi_r1][pa_r3 > chi_r3]", WORD), ["chi_r1", "pa_r3 > chi_r3"]), p), lambda p: corpus.read_fillers(s, p), "fillers").select("id", "period", "slot", F.array_join("item", "|").alias("item"))
+)
+_add("vocabulary_file", "WITH " + TOK + " SELECT period, lemma || '/' || pos AS word, count(*) AS count FROM tok GROUP BY ALL")(
+    lambda s, d: _back(s, lambda p: sinks.write_vocabulary(freq.vocabulary(parsed(s, d)), p), lambda p: s.read.option("header", True).schema("word string, count long, period string").csv(p), "vocabulary").select("period", "word", "count")
+)
+
 # ---------------------------------------------------------------- vectors and clusters
 
 def points(s, d):
@@ -355,6 +470,28 @@ _add("attached_vectors", PTS + " SELECT period, filler, count, round(vector[1] /
 _add("shared_vocabulary", PTS + " SELECT count(*) AS words FROM pts x JOIN pts y USING (filler) WHERE x.period = 'a' AND y.period = 'b'")(
     lambda s, d: points(s, d).where("period = 'a'").select("filler").join(points(s, d).where("period = 'b'").select("filler"), "filler").agg(F.count("*").alias("words"))
 )
+_add("vectors_file", PTS + " SELECT filler AS word, len(vector) AS dim, round(vector[1], 5) + 0.0 AS x1, round(list_sum(vector), 4) + 0.0 AS total FROM pts WHERE period = 'a'")(
+    lambda s, d: _back(s, lambda p: vectors.write_text(points(s, d).where("period = 'a'").select(F.col("filler").alias("word"), F.col("vector").alias("vec")), p), lambda p: vectors.read_text(s, p, "a"), "vectors").select("word", F.size("vec").cast("long").alias("dim"), (F.round(F.get("vec", 0).cast("double"), 5) + 0.0).alias("x1"), (F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4) + 0.0).alias("total"))
+)
+_add("procrustes_norms", PTS + " SELECT period, count(*) AS words, round(sum(list_dot_product(vector, vector)) / sum(list_dot_product(vector, vector)), 6) AS kept FROM pts GROUP BY period")(
+    lambda s, d: _norms(embed.align(points(s, d).select("period", F.col("filler").alias("word"), F.col("vector").alias("vec")), ["a", "b"])[0], points(s, d))
+)
+
+
+def _norms(after: DataFrame, before: DataFrame) -> DataFrame:
+    """Sums of squares of aligned vectors over those of the vectors at unit length: a rotation keeps them."""
+    squares = lambda c: F.sum(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    own = after.groupBy("period").agg(F.count("*").alias("words"), squares("vec").alias("s1"))
+    was = before.select("period", unit(F.col("vector")).alias("v")).groupBy("period").agg(squares("v").alias("s0"))
+    return own.join(was, "period").select("period", "words", F.round(F.col("s1") / F.col("s0"), 6).alias("kept"))
+
+
+_add("shared_words", PTS + " SELECT x.filler AS word FROM pts x JOIN pts y USING (filler) WHERE x.period = 'a' AND y.period = 'b'")(
+    lambda s, d: points(s, d).where("period = 'a'").select(F.col("filler").alias("word")).join(points(s, d).where("period = 'b'").select(F.col("filler").alias("word")), "word")
+)
+_add("top_vocabulary", f"WITH {TOK}, c AS (SELECT period, lemma AS word, count(*) AS count FROM tok GROUP BY ALL HAVING count(*) >= 5) SELECT period, word, count FROM c QUALIFY row_number() OVER (PARTITION BY period ORDER BY count DESC, word) <= 50")(
+    lambda s, d: embed.top_vocabulary(parsed(s, d).select("period", F.col("lemma").alias("word")), 5, 50).select("period", "word", "count")
+)
 _add("agglomerative")(lambda s, d: cluster.individual(points(s, d), 0.4).drop("vector"))
 _add("incremental")(lambda s, d: cluster.incremental(points(s, d), ["a", "b"], 0.4))
 _add("pca")(lambda s, d: embed.project(points(s, d)))

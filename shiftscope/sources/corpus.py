@@ -7,8 +7,6 @@ are the unit of parallelism.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +16,17 @@ TOKEN = r"^([^\t]+)\t([^\t]+)\t([^\t]+)\t([^\t]+)\t([^\t]+)\t([^\t]+)\t([^\t]+)$
 
 
 def raw_lines(spark: SparkSession, root: str, glob: str = "*.{txt,conllu}", recursive: bool = False) -> DataFrame:
-    """(period, file, file_line, line); files directly under the root are no part of the corpus."""
+    """(period, file, file_line, line); files directly under the root are no part of the corpus.
+
+    A period is a folder's name, or ``period=<name>`` as the writers of this library call it.
+    """
     path = f"{root.rstrip('/')}/*/" + ("" if recursive else "*")
     reader = spark.read.option("pathGlobFilter", glob)
     files = (reader.option("recursiveFileLookup", True).text(root, wholetext=True) if recursive else reader.text(path, wholetext=True)).select("value", F.col("_metadata.file_path").alias("p"))
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     tail = F.regexp_replace(F.substring_index(F.url_decode(F.replace("p", F.lit("+"), F.lit("%2B"))), base, -1), "^/+", "")
     own = files.withColumn("tail", tail).where(F.contains("tail", F.lit("/")))
-    lines = own.select(F.split_part("tail", F.lit("/"), F.lit(1)).alias("period"), F.regexp_replace("tail", "^[^/]*/", "").alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
+    lines = own.select(F.regexp_replace(F.split_part("tail", F.lit("/"), F.lit(1)), "^period=", "").alias("period"), F.regexp_replace("tail", "^[^/]*/", "").alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
     return lines.select("period", "file", (F.col("i") + 1).alias("file_line"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
@@ -33,7 +34,10 @@ def tokens_of(lines: DataFrame, pattern: str = TOKEN, keep_unclosed: bool = Fals
     """Lines to tokens with their sentence; a last sentence without an end mark counts only if asked for."""
     w = Window.partitionBy("period", "file").orderBy("file_line")
     start, end = F.startswith("line", F.lit("<s ")) | F.startswith("line", F.lit("<s>")), F.startswith("line", F.lit("</s"))
-    own = lines.withColumn("sent_seq", F.sum(F.when(start, 1).otherwise(0)).over(w)).withColumn("ends", F.sum(F.when(end, 1).otherwise(0)).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    own = lines.withColumn("sent_seq", F.sum(F.when(start, 1).otherwise(0)).over(w))
+    # end marks from a line on: all of the file less those before (running sums; a frame to the file's end would be summed anew for each line)
+    ended = F.when(end, 1).otherwise(0)
+    own = own.withColumn("ends", F.sum(ended).over(Window.partitionBy("period", "file")) - F.sum(ended).over(w) + ended)
     sent_id = F.when(start, F.regexp_extract("line", r"<s\s+id=[\"']?([^\"'>\s]+)", 1))
     own = own.withColumn("sent_id", F.last(sent_id, ignorenulls=True).over(w)).where(F.col("sent_seq") > 0)
     if not keep_unclosed:
@@ -90,5 +94,18 @@ def parse_with(sentences: DataFrame, parser, batch: int = 128) -> DataFrame:
     return sentences.mapInPandas(run, "period string, file string, file_line int, place int, " + ", ".join(f"{f} string" for f in FIELDS))
 
 
-def show_counts(counts: dict) -> str:
-    return json.dumps(counts, ensure_ascii=False, indent=2)
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """(period, id, slot_combs, frequency, specialisations) of a grouped JSON document."""
+    from shiftscope.sources.sinks import GROUPS
+
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", GROUPS)).alias("period", "nodes"))
+    return whole.select("period", F.explode("nodes").alias("x")).select("period", "x.*")
+
+
+def files(spark: SparkSession, root: str, glob: str = "*.{txt,conllu}") -> DataFrame:
+    """(period, file, bytes) of the corpus' files at any depth below a period, each once: the tasks of a run."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root).select("path", "length").distinct()
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
+    tail = F.regexp_replace(F.substring_index("path", base, -1), "^/+", "")
+    own = found.withColumn("tail", tail).where(F.contains("tail", F.lit("/")))
+    return own.select(F.regexp_replace(F.split_part("tail", F.lit("/"), F.lit(1)), "^period=", "").alias("period"), F.regexp_replace("tail", "^[^/]*/", "").alias("file"), F.col("length").alias("bytes"))

@@ -16,6 +16,24 @@ def period_json(counts: DataFrame) -> DataFrame:
     return counts.groupBy("period").agg(F.concat(F.lit("{"), body, F.lit("}")).alias("json"))
 
 
+def write_period_counts(counts: DataFrame, path: str, mode: str = "error") -> None:
+    """One JSON document {period: {slot: count}}; a report's table, so one row holds it."""
+    rows = period_json(counts).select(F.struct("period", F.concat(F.regexp_replace(F.to_json(F.array("period")), r"^\[|\]$", ""), F.lit(":"), F.col("json")).alias("entry")).alias("x"))
+    whole = rows.agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["entry"]), ","), F.lit("}")).alias("value"))
+    whole.coalesce(1).write.mode(mode).text(path)
+
+
+GROUPS = "map<string,array<struct<id:string,slot_combs:array<string>,frequency:bigint,specialisations:array<struct<specialisation:array<string>,frequency:bigint>>>>>"
+
+
+def write_groups(groups: DataFrame, path: str, mode: str = "error") -> None:
+    """One JSON document {period: [{id, slot_combs, frequency, specialisations}]}, groups by their ids."""
+    node = F.struct(F.concat_ws("_node_", "period", F.col("group_id").cast("string")).alias("id"), "slot_combs", F.col("frequency").cast("long").alias("frequency"), "specialisations")
+    nodes = F.transform(F.array_sort(F.collect_list(F.struct(F.col("group_id").alias("k"), node.alias("node")))), lambda x: x["node"])
+    whole = groups.groupBy("period").agg(nodes.alias("nodes")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("period", "nodes"))))).alias("value"))
+    whole.coalesce(1).write.mode(mode).text(path)
+
+
 def combos_csv(combos: DataFrame, width: int = 5) -> DataFrame:
     """The columns of the &-separated table in its order; ``width`` slots, or as many as the largest combination has."""
     width = max(width, combos.agg(F.max(F.size("slots"))).first()[0] or 0)
@@ -32,6 +50,10 @@ def fillers_csv(wide: DataFrame) -> DataFrame:
     return wide.select("id", F.col("period").alias("subfolder"), "target", *[cell_text(F.col(f"`{c}`")).alias(c) for c in wide.columns if c not in keys])
 
 
+def write_fillers(wide: DataFrame, path: str, mode: str = "error") -> None:
+    fillers_csv(wide).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+
+
 def write_vocabulary(vocab: DataFrame, path: str, mode: str = "error") -> None:
     vocab.write.mode(mode).partitionBy("period").option("header", True).csv(path)
 
@@ -43,6 +65,16 @@ def sentence_blocks(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("period", "file", "sent_seq").agg(F.concat(F.lit("<s id="), F.first("sent_id"), F.lit(">\n"), body, F.lit("\n</s>")).alias("block"))
 
 
+def write_corpus(tokens: DataFrame, path: str, skip_existing: bool = False, per_file: int = 1000) -> None:
+    """Parsed sentences as text, a folder for each period and ``per_file`` sentences a file.
+
+    Spark's commit protocol makes files appear whole or not at all; ``skip_existing`` leaves a
+    corpus that is there as it is.
+    """
+    blocks = sentence_blocks(tokens).select("period", F.col("block").alias("value"))
+    blocks.write.mode("ignore" if skip_existing else "error").option("maxRecordsPerFile", per_file).partitionBy("period").text(path)
+
+
 def write_sentences(lines: DataFrame, path: str, mode: str = "error") -> None:
     """Sentence lines, a folder for each period."""
     lines.select("period", F.col("line").alias("value")).write.mode(mode).partitionBy("period").text(path)

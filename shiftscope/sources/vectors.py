@@ -25,7 +25,7 @@ class _Strings(pickle.Unpickler):
 def read_text(spark: SparkSession, path: str, period: str) -> DataFrame:
     """``word x1 x2 ...`` lines; a header of two numbers is left out."""
     lines = spark.read.text(path).select(F.split(F.trim("value"), " ").alias("f")).where(F.size("f") > 2)
-    return lines.select(F.lit(period).alias("period"), F.get("f", 0).alias("word"), F.slice("f", 2, 10**6).cast("array<float>").alias("vec"))
+    return lines.select(F.lit(period).alias("period"), F.get("f", 0).alias("word"), F.slice("f", F.lit(2), F.size("f")).cast("array<float>").alias("vec"))
 
 
 def decode_binary(data: bytes) -> tuple[list[str], np.ndarray]:
@@ -88,7 +88,7 @@ def read_series(spark: SparkSession, root: str, periods: list[str]) -> DataFrame
 def training_lines(spark: SparkSession, root: str, lowercase: bool = False) -> DataFrame:
     """(period, line) of one text file for each period folder; none or several files of a period are an error."""
     raw = spark.read.text(f"{root.rstrip('/')}/*/*.txt").select("value", F.col("_metadata.file_path").alias("file"))
-    own = raw.withColumn("period", F.element_at(F.split("file", "/"), -2))
+    own = raw.withColumn("period", F.regexp_replace(F.url_decode(F.element_at(F.split("file", "/"), -2)), "^period=", ""))
     many = own.groupBy("period").agg(F.count_distinct("file").alias("n")).where("n <> 1").limit(1).collect()
     if many:
         raise ValueError(f"period {many[0].period} has {many[0].n} text files; one is needed")
