@@ -1,18 +1,22 @@
 """A corpus pipeline of five of the training-data operators.
 
 ``run`` applies the stages to the table documents.  Every stage works on all rows that the
-stage before it kept, and all but the last return the columns of documents.
+stage before it kept, and all but the last return the columns of documents.  Stages' tables
+are written to the shared folder; ``shiftscope.llm.common.release`` deletes them once the
+result has been written.
+
+Defined results: null and empty texts are scored like any other, are copies of each other, link
+with nothing, have no tokens and come out at the rate of their domain; a null id stays unless
+its text goes as a copy; rows that repeat id and text are one document after the second stage;
+an empty table gives an empty result; extra columns are carried to the fourth stage.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shiftscope.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from shiftscope.llm.common import shared_dir, table
+from shiftscope.llm.common import new_folder, table
 
 #: Mixing in the pipeline keeps every document: rates are 1 at least, and the total is the
 #: least at which no domain has to shrink.
@@ -58,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = new_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
