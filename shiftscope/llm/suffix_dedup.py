@@ -43,6 +43,8 @@ LENGTH = 50
 GRAM = 24
 WINDOW = LENGTH - GRAM + 1
 BATCH = 8 << 20
+#: Fragments for each shuffle partition; a worker holds one fragment at a time.
+SPREAD = 4
 #: Bytes whose windows are looked at together; bounds the temporaries.
 STEP = 2 << 20
 LAST = np.iinfo(np.int64).max
@@ -334,13 +336,14 @@ def _sort(key: tuple, rows: pa.Table) -> pa.Table:
     np.minimum.at(least, which, ids)
     windows = size - LENGTH + 1
     first = np.concatenate([[0], np.cumsum(windows)])
-    owner = np.repeat(np.arange(len(number)), windows)
+    owner = np.repeat(np.arange(len(number), dtype=np.int32), windows)
     wanted = start[owner] + np.arange(len(owner)) - first[owner]
     order = suffix_order(text, wanted)
     head = np.flatnonzero(~equal_windows(text, order))
-    place = np.empty(len(text), np.int64)
+    place = np.empty(len(text), np.int32 if len(text) < 1 << 31 else np.int64)
     place[wanted] = np.arange(len(wanted))
     at = place[order]
+    del place, wanted, order
     low = np.repeat(np.minimum.reduceat(least[owner[at]], head), np.diff(np.append(head, len(at))))
     gone = np.zeros(len(owner), bool)
     gone[at] = low < least[owner[at]]
@@ -397,7 +400,7 @@ def _finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (bytes)."""
-    parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = SPREAD * max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = only(docs, id_col, text_col)
     flags = own.mapInArrow(_deal(parts), ANCHORS).groupBy("frag").applyInArrow(_repeated, "frag long, batch long, flags binary")
     texts = own.mapInArrow(_texts, TEXTS)
