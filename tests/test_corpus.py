@@ -2,6 +2,7 @@ import pickle
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shiftscope.functions.text import parse_cell, show_cell
 from shiftscope.operators import freq
@@ -79,3 +80,15 @@ def test_vectors(spark, tmp_path):
     assert np.allclose(np.linalg.norm(unit["c"]), 1)
     with pytest.raises(pickle.UnpicklingError):
         vectors._Strings(__import__("io").BytesIO(pickle.dumps(np.zeros(2)))).load()
+
+
+def test_written_corpus_is_left_alone_if_asked(spark, tmp_path):
+    columns = "period string, file string, sent_seq int, file_line int, sent_id string, form string, lemma string, pos string, id string, head string, deprel string, feats string"
+    one = spark.createDataFrame([("p a", "f", 1, 2, "s1", "Dogs", "dog", "NOUN", "1", "0", "root", "_")], columns)
+    path = f"file://{tmp_path}/c"
+    sinks.write_corpus(one, path)
+    sinks.write_corpus(one.withColumn("lemma", F.lit("cat")), path, skip_existing=True)
+    assert [(r.period, r.lemma) for r in corpus.read_tokens(spark, path).collect()] == [("p a", "dog")]
+    assert [r.period for r in corpus.files(spark, path).collect()] == ["p a"]
+    with pytest.raises(Exception, match="already exists"):
+        sinks.write_corpus(one, path)

@@ -158,3 +158,14 @@ def test_contexts_and_lines(tokens):
     assert got == ["Dog Not Bark Loud <TAR> Very <TAR>"]
     lines = {r.sent_seq: r.line for r in observe.sentence_lines(tokens.withColumn("pos", F.when(F.col("pos") == "ADP", "PUNCT").otherwise(F.col("pos")))).collect()}
     assert lines[3] == "cat bark dog bark"
+
+
+def test_merge_formulas_and_required_columns(tokens):
+    want = {"new": ["a", "b"], "other": ["c"]}
+    assert observe.formula_of(want) == want
+    assert observe.formula_of([("new", ["a", "b"]), ("other", "c")]) == want
+    assert observe.formula_of([{"output": "new", "columns": ["a", "b"]}, {"target": "other", "sources": "c"}]) == want
+    with pytest.raises(ValueError):
+        observe.formula_of([{"output": "new"}])
+    with pytest.raises(ValueError):
+        observe.specialisations(tokens)

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from shiftscope.operators import signif
+from shiftscope.operators import distance, signif
 
 #: Counts of relation types around one adjective in six periods (fixed values).
 PERIODS = {
@@ -11,7 +12,7 @@ PERIODS = {
     "2016-2020": {"pa_amod": 134, "pa_advmod": 128, "chi_advmod": 9, "chi_punct": 6, "pa_conj": 5, "chi_conj": 5, "chi_cc": 3, "chi_case": 2, "chi_det": 2, "pa_obl": 1, "pa_nmod": 1},
     "2021-2025": {"pa_advmod": 340, "pa_amod": 212, "chi_advmod": 17, "chi_punct": 14, "chi_conj": 14, "pa_conj": 9, "chi_cc": 7, "chi_obl": 5, "chi_det": 4, "chi_nsubj": 3, "chi_cop": 2, "pa_acl": 1, "chi_acl": 1, "pa_nmod": 1, "chi_case": 1, "pa_advcl": 1},
 }
-#: Stored results for them: weighted distance (k = 100), permutations kept of 1,000 with seed 42, p-value.
+#: Stored results for them (fixed values): weighted distance (k = 100), permutations kept of 1,000 with seed 42, p-value.
 STORED = [
     (0.05637931034482758, 598, 0.5175292153589316),
     (0.054913793103448266, 241, 0.08264462809917356),
@@ -68,3 +69,28 @@ def test_shuffle_keeps_margins(types):
     got = signif.shuffled_periods(df.select("id", "period", "slot", "item"))
     count = lambda f, c: sorted((r[0], r[1]) for r in f.groupBy(c).count().collect())
     assert count(got, "period") == count(df, "period") and count(got, "item") == count(df, "item")
+
+
+def test_nan_and_null_p_values_take_no_part(spark):
+    rows = [("s", "a", "b", 0.01), ("s", "b", "c", 0.02), ("s", "c", "d", float("nan")), ("s", "d", "e", None)]
+    out = {r.period_1: r for r in signif.fdr(spark.createDataFrame(rows, "slot string, period_1 string, period_2 string, p_value double")).collect()}
+    assert [round(out[p].q_value, 9) for p in "ab"] == [0.03, 0.03]
+    assert out["c"].q_value is None and out["d"].q_value is None and not out["c"].significant_raw and not out["c"].significant_fdr
+
+
+def test_permutations_join_by_period_alone(spark):
+    obs = spark.createDataFrame([("s", p, i) for p in "abc" for i in "xyz" * 4], "slot string, period string, item string")
+    for null in ("full", "reference"):
+        plan = signif.permutation_test(obs, n_permutations=3, null=null)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_test_for_a_distance_table(spark):
+    obs = spark.createDataFrame([("s", p, i) for p, items in (("a", "xxy"), ("b", "xyy"), ("c", "yyz")) for i in items], "slot string, period string, item string")
+    tests = signif.permutation_test(obs, n_permutations=5)
+    dist = distance.distances(obs).where("period_1 = 'a'")
+    assert [r.period_1 for r in signif.for_transitions(dist, tests).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        signif.keyed(dist.drop("dist"))
+    with pytest.raises(Exception, match="not that of these observations"):
+        signif.for_transitions(dist.withColumn("dist", F.lit(0.9)), tests).collect()
