@@ -33,6 +33,8 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -132,6 +134,7 @@ def _parts(spec: str, batches: Iterator[pa.RecordBatch], lists: bool):
     _, cut, added, _ = _tools(spec)
     find = regex.compile(PATTERN).findall
     for part in slices(batches, "text", SLICE):
+        # words are numbered as they are first met, in either pass
         number: dict[str, int] = defaultdict()
         number.default_factory = number.__len__
         name, sizes, flat = xxhash.xxh3_64(), [], []
@@ -141,9 +144,12 @@ def _parts(spec: str, batches: Iterator[pa.RecordBatch], lists: bool):
             text = text.as_py()
             name.update(text.encode())
             name.update(b"\xff")
-            own = np.fromiter(map(number.__getitem__, split(text, cut, added, find)), np.uint32)
+            own = split(text, cut, added, find)
             sizes.append(len(own))
-            flat.append(own)
+            if lists:
+                flat.append(np.fromiter(map(number.__getitem__, own), np.uint32, len(own)))
+            else:
+                number.update(dict.fromkeys(own, 0))
         yield name.intdigest() - (1 << 63), ids, list(number), np.array(sizes, np.int64), np.concatenate(flat) if lists and flat else None
 
 
@@ -169,14 +175,15 @@ def _words(spec, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, _, words, _, _ in _parts(spec.value, batches, False):
-            dealt: list[list] = [[] for _ in range(parts)]
-            for n, word in enumerate(words):
-                own = word.encode()
-                dealt[zlib.crc32(own) % parts].append((own, n))
-            for part, rows in enumerate(dealt):
-                if rows:
-                    rows.sort()  # like words side by side press better
-                    packed = _pack(np.array([n for _, n in rows], np.uint32), np.array([len(w) for w, _ in rows], np.uint32), b"".join([w for w, _ in rows]))
+            own = [word.encode() for word in words]
+            size = np.fromiter(map(len, own), np.uint32, len(own))
+            part_of = np.fromiter(map(zlib.crc32, own), np.uint32, len(own)) % parts
+            order = np.array(sorted(range(len(own)), key=own.__getitem__), np.int64)  # like words side by side press better
+            order = order[np.argsort(part_of[order], kind="stable")]
+            ends = np.cumsum(np.bincount(part_of, minlength=parts))
+            for part, at in enumerate(np.split(order, ends[:-1])):
+                if len(at):
+                    packed = _pack(at, size[at], b"".join([own[n] for n in at.tolist()]))
                     yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "slice": pa.array([name], pa.int64()), "words": [packed]})
 
     return run
@@ -193,6 +200,13 @@ def _positions(spec):
     return run
 
 
+def runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``first``, one run after the other."""
+    size = size.astype(np.int64)
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
 def _encode(spec):
     """One part of the word table: encodes each distinct word once; ids go to the slices that hold it."""
 
@@ -207,31 +221,39 @@ def _encode(spec):
             held.append((numbers, np.fromiter((index[data[a:b]] for a, b in zip([0, *ends[:-1]], ends)), np.int64, len(ends))))
         words, ids = [w.decode() for w in index], []
         for k in range(0, len(words), 4096):
-            ids += [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(words[k : k + 4096], add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.uint32)
-        sent = [_pack(numbers, size[at], np.concatenate([ids[i] for i in at.tolist()]).tobytes()) for numbers, at in held]
+            ids += [e.ids for e in tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.uint32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        first = np.cumsum(size, dtype=np.int64) - size
+        sent = [_pack(numbers, size[at], flat[runs(first[at], size[at])].tobytes()) for numbers, at in held]
         return pa.table({"slice": rows.column("slice"), "coded": pa.array(sent, pa.binary())})
 
     return run
 
 
+class Coded(NamedTuple):
+    """The ids of a slice's words, one word after the other, and each word's number of ids."""
+
+    ids: np.ndarray
+    size: np.ndarray
+
+
 def _gather(spec, emit, schema: pa.Schema):
     """A slice's words with their ids beside its position lists."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         pieces = _tools(spec.value)[3]
-        ids: dict[int, np.ndarray] = {}
-        for packed in right.column("coded").to_pylist():
-            numbers, sizes, data = _unpack(packed)
-            flat = np.frombuffer(data, "<u4")
-            ids |= zip(numbers.tolist(), np.split(flat, np.cumsum(sizes)[:-1]))
-        if sorted(ids) != list(range(len(ids))):
+        held = [_unpack(packed) for packed in right.column("coded").to_pylist()] or [(np.zeros(0, "<u4"), np.zeros(0, "<u4"), b"")]
+        numbers, size = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]).astype(np.int64)
+        numbers, order = np.unique(numbers, return_index=True)  # equal slices share their words
+        if not np.array_equal(numbers, np.arange(len(numbers))):
             raise RuntimeError("a slice of texts was cut differently in two passes")
-        own, out = [ids[n] for n in range(len(ids))], []
+        ids, first = np.frombuffer(b"".join(x[2] for x in held), "<u4"), np.cumsum(size) - size
+        own, out = Coded(ids[runs(first[order], size[order])], size[order]), []
         for row in left.to_pylist():
             plane = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["at"]), np.uint8)
             flat = np.ascontiguousarray(plane.reshape(4, -1).T).view(np.uint32).ravel()
-            if len(flat) and flat.max() >= len(own):
+            if len(flat) and flat.max() >= len(own.size):
                 raise RuntimeError("a slice of texts was cut differently in two passes")
             out.append(emit(row["ids"], np.array(row["sizes"], np.int64), flat, own, pieces))
         return pa.concat_tables(out) if out else schema.empty_table()
@@ -239,27 +261,31 @@ def _gather(spec, emit, schema: pa.Schema):
     return run
 
 
-def _digest(doc_ids, sizes, flat, ids, pieces) -> pa.Table:
-    nums = [x.tolist() for x in ids]
-    pieces = joined(np.concatenate(ids), pieces) if ids else {}
-    count = np.array([len(x) for x in nums] or [0], np.int64)
-    shown = [",".join(map(str, x)).encode() for x in nums]
-    plain = [b"".join([pieces[i] for i in x]) for x in nums]
+def _digest(doc_ids, sizes, flat, words: Coded, pieces) -> pa.Table:
+    met = joined(words.ids, pieces)
+    nums = words.ids.tolist()
+    shown, plain = [str(i).encode() for i in nums], [met[i] for i in nums]
+    ends = np.cumsum(words.size).tolist()
+    cuts = list(zip([0, *ends[:-1]], ends))
+    ids_of, text_of = np.empty(len(cuts), object), np.empty(len(cuts), object)
+    ids_of[:] = [b",".join(shown[a:b]) for a, b in cuts]
+    text_of[:] = [b"".join(plain[a:b]) for a, b in cuts]
     n_tokens, first, second, at = [], [], [], 0
     for n in sizes.tolist():
-        own = flat[at : at + n].tolist()
+        own = flat[at : at + n]
         at += n
-        n_tokens.append(int(count[own].sum()) if n else 0)
-        first.append(hashlib.sha256(b",".join([shown[i] for i in own])).hexdigest())
-        text = b"".join([plain[i] for i in own]).decode("utf-8", "replace")
+        n_tokens.append(int(words.size[own].sum()))
+        first.append(hashlib.sha256(b",".join(ids_of[own].tolist())).hexdigest())
+        text = b"".join(text_of[own].tolist()).decode("utf-8", "replace")
         second.append(hashlib.sha256(text.encode()).hexdigest())
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())})
 
 
-def _lists(doc_ids, sizes, flat, ids, pieces) -> pa.Table:
-    own, at = [], 0
+def _lists(doc_ids, sizes, flat, words: Coded, pieces) -> pa.Table:
+    begin, own, at = np.cumsum(words.size) - words.size, [], 0
     for n in sizes.tolist():
-        own.append(np.concatenate([ids[i] for i in flat[at : at + n].tolist()]).astype(np.int32) if n else np.zeros(0, np.int32))
+        at_words = flat[at : at + n]
+        own.append(words.ids[runs(begin[at_words], words.size[at_words])].astype(np.int32))
         at += n
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(own, pa.list_(pa.int32()))})
 
