@@ -141,14 +141,20 @@ def align(vectors: DataFrame, periods: list[str], min_anchors: int | None = None
 
     def rotate(frames):
         for f in frames:
-            rows = [np.asarray(v) @ turn[p] if p in turn else np.asarray(v) for p, v in zip(f["period"], f["vec"])]
-            yield pd.DataFrame({"period": f["period"], "word": f["word"], "vec": rows})
+            for p, own in f.groupby("period", sort=False):
+                rows = list(np.stack(own["vec"]) @ turn[p]) if p in turn else list(own["vec"])
+                yield pd.DataFrame({"period": p, "word": own["word"].to_numpy(), "vec": rows})
 
     return own.mapInPandas(rotate, "period string, word string, vec array<double>"), anchors
 
 
+def common_words(vectors: DataFrame, a: str, b: str) -> DataFrame:
+    """(word): words with a vector in both periods."""
+    return vectors.where(F.col("period") == a).select("word").join(vectors.where(F.col("period") == b).select("word"), "word")
+
+
 def shared_words(vectors: DataFrame, a: str, b: str) -> int:
-    return vectors.where(F.col("period") == a).join(vectors.where(F.col("period") == b).select("word"), "word").count()
+    return common_words(vectors, a, b).count()
 
 
 def select_fillers(counts: DataFrame, min_freq: int = 1, top_n: int | None = None, periods: list[str] | None = None) -> DataFrame:

@@ -448,6 +448,10 @@ def points(s, d):
     return own.select(F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("period"), F.lit("slot").alias("slot"), F.concat(F.lit("w"), F.expr("vec_id div 2").cast("string")).alias("filler"), (F.col("vec_id") % 17 + 1).cast("long").alias("count"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("int").alias("cluster_id"))
 
 
+def word_vectors(s, d):
+    return points(s, d).select("period", F.col("filler").alias("word"), F.col("vector").alias("vec"))
+
+
 PTS = "WITH pts AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS period, 'w' || (vec_id // 2) AS filler, CAST(vec_id % 17 + 1 AS BIGINT) AS count, CAST(embedding AS DOUBLE[]) AS vector, CAST(label AS INT) AS cluster_id FROM embeddings)"
 CENT = PTS + ", dims AS (SELECT period, cluster_id, count, unnest(vector) AS x, generate_subscripts(vector, 1) AS i FROM pts), m AS (SELECT period, cluster_id, i, sum(x * count) / sum(count) AS x FROM dims GROUP BY ALL), cen AS (SELECT period, cluster_id, sqrt(sum(x * x)) AS norm, list(x ORDER BY i) AS mean FROM m GROUP BY ALL), ce AS (SELECT period, cluster_id, list_transform(mean, lambda v: v / norm) AS c FROM cen)"
 _add("centroids_weighted", CENT + ", sz AS (SELECT period, cluster_id, count(*) AS n_fillers, CAST(sum(count) AS BIGINT) AS total_count FROM pts GROUP BY ALL) SELECT period, cluster_id, n_fillers, total_count, round(c[1], 6) + 0.0 AS x1, round(list_sum(c), 6) + 0.0 AS total FROM ce JOIN sz USING (period, cluster_id)")(
@@ -468,13 +472,13 @@ _add("attached_vectors", PTS + " SELECT period, filler, count, round(vector[1] /
     lambda s, d: embed.nonzero(embed.attach(points(s, d).select("period", "filler", "count"), points(s, d).where("cluster_id < 6").select("period", F.col("filler").alias("word"), F.col("vector").alias("vec")))[0]).select("period", "filler", "count", (F.round(F.get(unit(F.col("vector")), 0), 6) + 0.0).alias("x1"))
 )
 _add("shared_vocabulary", PTS + " SELECT count(*) AS words FROM pts x JOIN pts y USING (filler) WHERE x.period = 'a' AND y.period = 'b'")(
-    lambda s, d: points(s, d).where("period = 'a'").select("filler").join(points(s, d).where("period = 'b'").select("filler"), "filler").agg(F.count("*").alias("words"))
+    lambda s, d: embed.common_words(word_vectors(s, d), "a", "b").agg(F.count("*").alias("words"))
 )
 _add("vectors_file", PTS + " SELECT filler AS word, len(vector) AS dim, round(vector[1], 5) + 0.0 AS x1, round(list_sum(vector), 4) + 0.0 AS total FROM pts WHERE period = 'a'")(
     lambda s, d: _back(s, lambda p: vectors.write_text(points(s, d).where("period = 'a'").select(F.col("filler").alias("word"), F.col("vector").alias("vec")), p), lambda p: vectors.read_text(s, p, "a"), "vectors").select("word", F.size("vec").cast("long").alias("dim"), (F.round(F.get("vec", 0).cast("double"), 5) + 0.0).alias("x1"), (F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4) + 0.0).alias("total"))
 )
 _add("procrustes_norms", PTS + " SELECT period, count(*) AS words, round(sum(list_dot_product(vector, vector)) / sum(list_dot_product(vector, vector)), 6) AS kept FROM pts GROUP BY period")(
-    lambda s, d: _norms(embed.align(points(s, d).select("period", F.col("filler").alias("word"), F.col("vector").alias("vec")), ["a", "b"])[0], points(s, d))
+    lambda s, d: _norms(embed.align(word_vectors(s, d), ["a", "b"])[0], points(s, d))
 )
 
 
@@ -487,7 +491,7 @@ def _norms(after: DataFrame, before: DataFrame) -> DataFrame:
 
 
 _add("shared_words", PTS + " SELECT x.filler AS word FROM pts x JOIN pts y USING (filler) WHERE x.period = 'a' AND y.period = 'b'")(
-    lambda s, d: points(s, d).where("period = 'a'").select(F.col("filler").alias("word")).join(points(s, d).where("period = 'b'").select(F.col("filler").alias("word")), "word")
+    lambda s, d: embed.common_words(word_vectors(s, d), "a", "b")
 )
 _add("top_vocabulary", f"WITH {TOK}, c AS (SELECT period, lemma AS word, count(*) AS count FROM tok GROUP BY ALL HAVING count(*) >= 5) SELECT period, word, count FROM c QUALIFY row_number() OVER (PARTITION BY period ORDER BY count DESC, word) <= 50")(
     lambda s, d: embed.top_vocabulary(parsed(s, d).select("period", F.col("lemma").alias("word")), 5, 50).select("period", "word", "count")
@@ -495,7 +499,7 @@ _add("top_vocabulary", f"WITH {TOK}, c AS (SELECT period, lemma AS word, count(*
 _add("agglomerative")(lambda s, d: cluster.individual(points(s, d), 0.4).drop("vector"))
 _add("incremental")(lambda s, d: cluster.incremental(points(s, d), ["a", "b"], 0.4))
 _add("pca")(lambda s, d: embed.project(points(s, d)))
-_add("procrustes")(lambda s, d: embed.align(points(s, d).select("period", F.col("filler").alias("word"), F.col("vector").alias("vec")), ["a", "b"])[0].select("period", "word", F.get("vec", 0).alias("x1")))
+_add("procrustes")(lambda s, d: embed.align(word_vectors(s, d), ["a", "b"])[0].select("period", "word", F.get("vec", 0).alias("x1")))
 
 
 @_add("w2v")
