@@ -144,3 +144,32 @@ def test_stream(spark, tmp_path):
     q.stop()
     want = {(r.period, r.slot): r["count"] for r in events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("period"), F.col("event_type").alias("slot")).count().collect()}
     assert {(r.period, r.slot): r["count"] for r in spark.table("slots").collect()} == want
+
+
+def test_average_linkage_holds_no_matrix_of_all_pairs():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(6000, 16))
+    v[::3] = v[0]
+    tracemalloc.start()
+    got = cluster.average_linkage(v, 0.7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6000 * 6000 * 8 / 2 and len(set(got[::3].tolist())) == 1
+
+
+def test_incremental_with_many_clusters_is_blocked(spark, monkeypatch):
+    """As whole as by blocks of one row, and as a plain replay says."""
+    rng = np.random.default_rng(4)
+    rows = [(p, "s", f"w{i:03d}", 1 + i % 5, rng.normal(size=5).tolist()) for p in "ab" for i in range(120)]
+    pts = spark.createDataFrame(rows, "period string, slot string, filler string, count long, vector array<double>")
+    got = {(r.period, r.filler): (r.cluster_id, r.event) for r in cluster.incremental(pts, ["a", "b"], 0.7).collect()}
+    cents = {k: np.average([r[4] for r in rows if r[0] == "a" and got["a", r[2]][0] == k], axis=0, weights=[r[3] for r in rows if r[0] == "a" and got["a", r[2]][0] == k]) for k in {c for (p, _), (c, _) in got.items() if p == "a"}}
+    for p, _, f, _, v in rows:
+        if p == "b":
+            sim = {k: np.dot(c, v) / np.linalg.norm(c) / np.linalg.norm(v) for k, c in cents.items()}
+            best = max(sim, key=sim.get)
+            assert got[p, f] == (best, "continued") if sim[best] >= 0.7 else got[p, f][1] == "new_cluster" and got[p, f][0] >= len(cents)
+    monkeypatch.setattr(cluster, "CELLS", 1)
+    assert cluster.average_linkage(np.array([r[4] for r in rows[:120]]), 0.7).max() + 1 == len(cents)
