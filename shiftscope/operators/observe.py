@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftscope.functions.text import construction, feature_types, feature_values, filler, first_level, trimmed
+from shiftscope.functions.text import construction, feature_types, feature_values, first_level, trimmed
 from shiftscope.operators import graph
 from shiftscope.operators.graph import SENT, TARGET
+from shiftscope.operators.packed import Search, search
 from shiftscope.plans.templates import Step, slot_columns
 
 
@@ -19,9 +20,8 @@ def from_table(frame: DataFrame, period, slots: dict[str, str], id_col: str, tar
 
 def path_counts(tokens: DataFrame, lemma: str, pos: str | None = None, depth: int = 2) -> DataFrame:
     """(period, slot, count) of every path of up to depth steps from the target."""
-    which = graph.targets(tokens, lemma, pos)
-    links = graph.edges(graph.near(tokens, which))
-    return graph.prefix_paths(which, links, depth).groupBy("period", F.col("path").alias("slot")).agg(F.count("*").alias("count"))
+    each = graph.paths(tokens, lemma, pos, depth, prefixes=True).select("period", F.explode("paths").alias("slot"))
+    return each.groupBy("period", "slot").agg(F.count("*").alias("count"))
 
 
 def path_combos(tokens: DataFrame, lemma: str, pos: str | None = None, depth: int = 1, excluded: list[str] | None = None) -> DataFrame:
@@ -29,10 +29,7 @@ def path_combos(tokens: DataFrame, lemma: str, pos: str | None = None, depth: in
 
     With exclusions an occurrence whose set is emptied goes; without, one with no path counts.
     """
-    which = graph.targets(tokens, lemma, pos)
-    links = graph.edges(graph.near(tokens, which))
-    sets = graph.terminal_paths(which, links, depth).groupBy(*TARGET).agg(F.array_sort(F.collect_set("path")).alias("slots"))
-    own = which.join(sets, TARGET, "left").withColumn("slots", F.coalesce("slots", F.array().cast("array<string>")))
+    own = graph.paths(tokens, lemma, pos, depth).select("period", F.array_sort(F.array_distinct("paths")).alias("slots"))
     if excluded is not None:
         own = own.withColumn("slots", F.array_sort(F.array_distinct(trimmed(F.col("slots"), excluded)))).where(F.size("slots") > 0)
     return own.groupBy("period", F.lit(lemma).alias("target"), "slots").agg(F.count("*").alias("frequency"))
@@ -40,16 +37,12 @@ def path_combos(tokens: DataFrame, lemma: str, pos: str | None = None, depth: in
 
 def slot_fillers(tokens: DataFrame, slots: str, lemma: str, pos: str | None = None, fmt: str = "lemma", filtered_pos: list[str] | None = None) -> DataFrame:
     """(id, period, target, slot, item): item is the fillers along one chain; a filtered part of speech leaves the chain, an empty chain goes."""
-    which = graph.targets(tokens, lemma, pos)
     listed = [(name, chain) for name, chains in slot_columns(slots) for chain in chains]
-    space = graph.near(tokens, which)
-    found = graph.along(which, graph.edges(space), [[Step(x, None) for x in chain] for _, chain in listed], visited=False)
-    place = found.select(*TARGET, "path_ix", "seen", F.posexplode(F.slice("seen", F.lit(2), F.size("seen"))).alias("ix", "id"))
-    own = space.where(~F.col("pos").isin(filtered_pos)) if filtered_pos else space
-    met = place.join(own.select(*SENT, "id", filler(fmt).alias("shown")), [*SENT, "id"])
-    item = F.transform(F.array_sort(F.collect_list(F.struct("ix", "shown"))), lambda x: x["shown"])
+    chains = tuple(tuple(Step(x, None) for x in chain) for _, chain in listed)
+    found = search(tokens, Search(lemma, pos, chains=chains, visited=False, fmt=fmt, filtered_pos=tuple(filtered_pos or ())))
+    own = F.array_distinct(F.transform("found", lambda m: F.struct(m["path_ix"], m["seen"], F.filter(m["shown"], lambda x: x.isNotNull()).alias("item"))))
+    rows = found.select(*TARGET, F.explode(own).alias("x")).select(*TARGET, "x.path_ix", "x.item").where(F.size("item") > 0)
     slot = F.get(F.array(*[F.lit(name) for name, _ in listed]), F.col("path_ix"))
-    rows = met.groupBy(*TARGET, "path_ix", "seen").agg(item.alias("item"))
     return rows.select(F.concat_ws("/", F.lit(lemma), "file", "sent_seq", "target").alias("id"), "period", F.lit(lemma).alias("target"), slot.alias("slot"), "item")
 
 
@@ -158,16 +151,32 @@ def formula_of(formula) -> dict[str, list[str]]:
     return out
 
 
+def merged_slots(obs: DataFrame, formula, dedupe: bool = False, keep_sources: bool = False) -> DataFrame:
+    """Observations with slots renamed by a formula (see ``formula_of``): one pass, a slot that goes into several is repeated."""
+    into: dict[str, list[str]] = {}
+    for new, olds in formula_of(formula).items():
+        for old in olds:
+            into.setdefault(old, []).append(new)
+    name = F.col("slot")
+    row = lambda slot, moved: F.struct(slot.alias("slot"), F.lit(moved).alias("moved"))
+    each = F.when(~F.coalesce(name.isin(list(into)), F.lit(False)), F.array(row(name, False)))
+    for old, names in into.items():
+        each = each.when(name == old, F.array(*[row(F.lit(x), True) for x in names], *([row(name, False)] if keep_sources else [])))
+    own = obs.withColumn("_to", F.explode(each)).withColumn("slot", F.col("_to.slot"))
+    if dedupe:  # of the renamed rows only: the others have a number each
+        own = own.withColumn("_row", F.when(~F.col("_to.moved"), F.monotonically_increasing_id())).dropDuplicates(["id", "slot", "item", "_row"])
+    return own.select(*obs.columns)
+
+
+def missing_slots(obs: DataFrame, formula) -> list[str]:
+    """The old slots of a formula that no row has."""
+    olds = {old for olds in formula_of(formula).values() for old in olds}
+    return sorted(olds - {r.slot for r in obs.where(F.col("slot").isin(list(olds))).select("slot").distinct().collect()})  # names of the formula
+
+
 def merge_slots(obs: DataFrame, formula, dedupe: bool = False, keep_sources: bool = False) -> tuple[DataFrame, list[str]]:
-    """Observations with slots renamed by a formula (see ``formula_of``); also the old slots that no row has."""
-    spark, formula = obs.sparkSession, formula_of(formula)
-    pairs = spark.createDataFrame([(old, new) for new, olds in formula.items() for old in olds], "slot string, new_slot string")
-    missing = [r.slot for r in pairs.select("slot").distinct().join(obs.select("slot").distinct(), "slot", "left_anti").collect()]  # names of the formula
-    moved = obs.join(F.broadcast(pairs), "slot").drop("slot").withColumnRenamed("new_slot", "slot").select(*obs.columns)  # as many rows as the formula has names
-    if dedupe:
-        moved = moved.dropDuplicates(["id", "slot", "item"])
-    rest = obs if keep_sources else obs.join(F.broadcast(pairs.select("slot").distinct()), "slot", "left_anti").select(*obs.columns)
-    return rest.unionByName(moved), sorted(missing)
+    """``merged_slots`` and ``missing_slots``; the second reads the observations."""
+    return merged_slots(obs, formula, dedupe, keep_sources), missing_slots(obs, formula)
 
 
 def pick_slots(obs: DataFrame, slots: list[str]) -> DataFrame:

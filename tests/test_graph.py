@@ -169,3 +169,37 @@ def test_merge_formulas_and_required_columns(tokens):
         observe.formula_of([{"output": "new"}])
     with pytest.raises(ValueError):
         observe.specialisations(tokens)
+
+
+def test_searches_move_no_tokens(tokens, spark):
+    """Packed sentences, ids being text or whole numbers, give what tokens give, and only results are shuffled."""
+    fields = ("form", "lemma", "pos", "id", "head", "deprel")
+    whole = tokens.groupBy("period", "file", "sent_seq").agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("int").alias("k"), *fields))).alias("t"))
+    sentences = whole.select("period", "file", "sent_seq", *[F.col(f"t.{c}").alias(c) for c in fields])
+    numbers = sentences.withColumn("id", F.col("id").cast("array<int>")).withColumn("head", F.col("head").cast("array<int>")).localCheckpoint()
+    template = relation_template("> (chi_nsubj, []) & > (chi_advmod, [])")
+    chains = construction_template("(VERB) & > (chi_obl, []) > (chi_case, [ADP])")
+    for make in (
+        lambda t: graph.relation_search(t, template, "bark", mode="close", fmt="token/deprel"),
+        lambda t: graph.construction_search(t, chains, fmt="lemma/deprel"),
+        lambda t: observe.path_counts(t, "bark", "VERB"),
+        lambda t: observe.path_combos(t, "bark", "VERB").withColumn("slots", F.array_join("slots", "&")),
+        lambda t: observe.slot_fillers(t, "[chi_nsubj][chi_advmod > chi_advmod | chi_obl]", "bark", filtered_pos=["PART"], fmt="lemma/pos").withColumn("item", F.array_join("item", "|")),
+    ):
+        want = sorted(map(str, make(tokens).collect()))
+        assert want and sorted(map(str, make(sentences).collect())) == want and sorted(map(str, make(numbers).collect())) == want
+    plan = lambda f: f._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Join" not in plan(graph.relation_search(tokens, template, "bark", mode="close")) and plan(graph.relation_search(tokens, template, "bark", mode="close")).count("Exchange hashpartitioning") == 1
+    assert "Exchange" not in plan(graph.relation_search(numbers, template, "bark", mode="close"))
+
+
+def test_merging_slots_is_one_pass(spark):
+    obs = spark.createDataFrame([("1", "p", "a", "x"), ("1", "p", "b", "x"), ("1", "p", "c", "y"), ("1", "p", "c", "y"), ("2", "p", None, "z")], "id string, period string, slot string, item string")
+    formula = {"new": ["a", "b", "gone"], "other": "a"}
+    rows = lambda f: sorted((r.id, str(r.slot), r.item) for r in f.collect())
+    rest = [("1", "c", "y"), ("1", "c", "y"), ("2", "None", "z")]
+    assert rows(observe.merged_slots(obs, formula)) == sorted([("1", "new", "x"), ("1", "new", "x"), ("1", "other", "x"), *rest])
+    assert rows(observe.merged_slots(obs, formula, dedupe=True)) == sorted([("1", "new", "x"), ("1", "other", "x"), *rest])
+    assert rows(observe.merged_slots(obs, formula, dedupe=True, keep_sources=True)) == sorted([("1", "a", "x"), ("1", "b", "x"), ("1", "new", "x"), ("1", "other", "x"), *rest])
+    plan = observe.merged_slots(obs, formula, dedupe=True)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Scan") == 1 and "Join" not in plan and observe.missing_slots(obs, formula) == ["gone"]
