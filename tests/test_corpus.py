@@ -92,3 +92,37 @@ def test_written_corpus_is_left_alone_if_asked(spark, tmp_path):
     assert [r.period for r in corpus.files(spark, path).collect()] == ["p a"]
     with pytest.raises(Exception, match="already exists"):
         sinks.write_corpus(one, path)
+
+
+def test_a_corpus_is_read_and_written_without_a_shuffle(spark, root, tmp_path):
+    plan = lambda f: f._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "Exchange" not in plan(corpus.read_tokens(spark, root))
+    for keep in (False, True):
+        want = corpus.tokens_of(corpus.raw_lines(spark, root), keep_unclosed=keep)
+        got = corpus.read_tokens(spark, root, keep_unclosed=keep).select(*want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    fields = [*corpus.FIELDS]
+    packed = corpus.read_tokens(spark, root).groupBy("period", "file", "sent_seq", "sent_id").agg(F.array_sort(F.collect_list(F.struct("file_line", *fields))).alias("t")).select("period", "file", "sent_seq", "sent_id", *[F.col(f"t.{c}").alias(c) for c in fields])
+    blocks = lambda f: sorted((r.period, r.block) for r in f.collect())
+    assert blocks(sinks.sentence_blocks(packed)) == blocks(sinks.sentence_blocks(corpus.read_tokens(spark, root)))
+    path = f"file://{tmp_path}/pressed"
+    sinks.write_corpus(packed, path, compression="gzip")
+    rows = lambda f: sorted((r.period, r.sent_id, r.form, r.feats) for r in f.collect())
+    assert rows(corpus.read_tokens(spark, path)) == rows(corpus.read_tokens(spark, root)) and corpus.files(spark, path).count()
+
+
+def test_a_long_period_is_written_by_many_tasks(spark, tmp_path):
+    lines = spark.range(20000).select(F.when(F.col("id") < 19000, "a").otherwise("b").alias("period"), F.format_string("f%05d", (F.col("id") % 4999).cast("int")).alias("file"), F.col("id").alias("sent_seq"), F.concat_ws(" ", "id", F.repeat(F.lit("x"), 9)).alias("line"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_merged(lines, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "out" / "period=a").glob("*.txt"))
+    assert len(parts) > 4 and max(p.stat().st_size for p in parts) < sum(p.stat().st_size for p in parts) / 3
+    want = [r.line for r in lines.where("period = 'a'").orderBy("file", "sent_seq").collect()]
+    assert [x for p in parts for x in p.read_text().splitlines()] == want
+    assert vectors.training_lines(spark, str(tmp_path / "out")).count() == 20000
+    (tmp_path / "out" / "period=a" / "other.txt").write_text("one more\n")
+    with pytest.raises(ValueError, match="2 text files"):
+        vectors.training_lines(spark, str(tmp_path / "out"))
