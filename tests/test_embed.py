@@ -173,3 +173,20 @@ def test_incremental_with_many_clusters_is_blocked(spark, monkeypatch):
             assert got[p, f] == (best, "continued") if sim[best] >= 0.7 else got[p, f][1] == "new_cluster" and got[p, f][0] >= len(cents)
     monkeypatch.setattr(cluster, "CELLS", 1)
     assert cluster.average_linkage(np.array([r[4] for r in rows[:120]]), 0.7).max() + 1 == len(cents)
+
+
+def test_many_points_are_clustered_in_tiles_as_in_one_task(spark, monkeypatch):
+    """Equal and zero vectors, a period small enough for one task, and no task that sees a period."""
+    rng = np.random.default_rng(6)
+    rows = [(p, "s", f"w{i:03d}", 1 + i % 5, rng.normal(size=5).tolist()) for p, n in (("a", 160), ("b", 120), ("c", 9)) for i in range(n)]
+    rows += [("a", "s", "x1", 2, rows[3][4]), ("a", "s", "x2", 9, rows[3][4]), ("b", "s", "x3", 1, [0.0] * 5), ("b", "s", "x4", 1, [0.0] * 5)]
+    pts = spark.createDataFrame(rows, "period string, slot string, filler string, count long, vector array<double>")
+    each = lambda: {(r.period, r.filler): r.cluster_id for r in cluster.individual(pts, 0.8).collect()}
+    fold = lambda: {(r.period, r.filler): (r.cluster_id, r.event, round(r.similarity_to_cluster, 9)) for r in cluster.incremental(pts, ["a", "b", "c"], 0.8).collect()}
+    want, carried = each(), fold()
+    monkeypatch.setattr(cluster, "ALONE", 40)
+    monkeypatch.setattr(cluster, "SIDE", 50)
+    tiled = []
+    monkeypatch.setattr(cluster, "nearest", lambda *a, f=cluster.nearest, **k: (tiled.append(a), f(*a, **k))[1])
+    assert each() == want and fold() == carried and len(tiled) > 4
+    assert len({k for (p, _), k in want.items() if p == "a"}) > 5
