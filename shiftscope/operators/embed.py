@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from shiftscope.functions.text import unit
 
 
+ROOT = 2**0.5
+
+
 @dataclass(frozen=True)
 class Training:
     """Parameters of skip-gram (sg) or CBOW training with negative sampling.
@@ -63,25 +67,70 @@ def keep_chance(count: np.ndarray, sample: float) -> np.ndarray:
     return np.minimum(1.0, np.sqrt(share) + share) if sample else np.ones(len(count))
 
 
+def _sentence(s: np.ndarray, reach: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of words, places of words near them): each word with those within its reach, in the order of the text."""
+    step = np.delete(np.arange(-window, window + 1), window)
+    near = np.arange(len(s))[:, None] + step
+    word, k = np.nonzero((np.abs(step) <= reach[:, None]) & (near >= 0) & (near < len(s)))
+    return word, near[word, k]
+
+
+def _choices(own: np.ndarray, drawn: np.ndarray, empty: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, weights): the word and the distinct words drawn against it, with the number of draws; draws of the word
+    itself and repeats are the ``empty`` row at no weight."""
+    drawn = np.sort(drawn, axis=1)
+    new = np.ones(drawn.shape, bool)
+    new[:, 1:] = drawn[:, 1:] != drawn[:, :-1]
+    starts = np.flatnonzero(new)
+    times = np.zeros(drawn.size)
+    times[starts] = np.diff(np.append(starts, drawn.size))
+    times = times.reshape(drawn.shape)
+    times[drawn == own[:, None]] = 0
+    return np.column_stack([own, np.where(times > 0, drawn, empty)]), np.column_stack([np.ones(len(own)), times])
+
+
 def train(lines: DataFrame, how: Training = Training()) -> DataFrame:
-    """(period, word, vec): one model a period, each trained in its own task, as a sequential process must be."""
+    """(period, word, vec): one model a period, each trained in its own task, as a sequential process must be.
+
+    Steps follow each other as in word2vec; what does not depend on the vectors is worked out for a sentence at once.
+    """
 
     def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        sents = [s.split() for s in frame.sort_values("line")["line"]]
-        count = pd.Series([w for s in sents for w in s], dtype=object).value_counts()
-        count = count[count >= how.min_count]
-        vocab = sorted(count.index, key=lambda w: (-count[w], w))[: how.max_vocab]
+        own_lines = frame["line"].sort_values().tolist()
+        count: Counter = Counter()
+        for line in own_lines:
+            count.update(line.split())
+        vocab = sorted((w for w in count if count[w] >= how.min_count), key=lambda w: (-count[w], w))[: how.max_vocab]
         if not vocab:
             return pd.DataFrame({"period": [], "word": [], "vec": []})
         index = {w: i for i, w in enumerate(vocab)}
         rng = np.random.default_rng(how.seed)
-        w_in = (rng.random((len(vocab), how.dim)) - 0.5) / how.dim
-        w_out = np.zeros((len(vocab), how.dim))
+        # both matrices are held over the root of 2: a product of theirs is half of the models', as the step needs it
+        w_in = (rng.random((len(vocab), how.dim)) - 0.5) / how.dim / ROOT
+        vectors = list(w_in)
+        w_out = np.zeros((len(vocab) + 1, how.dim))  # the last row stands for no word and stays 0
         noise = np.array([count[w] for w in vocab], float) ** how.ns_exponent
         noise = np.cumsum(noise / noise.sum())
-        ids = [np.array([index[w] for w in s if w in index]) for s in sents]
+        ids = [np.array([index[w] for w in line.split() if w in index], np.int32) for line in own_lines]
         chance = keep_chance(np.array([count[w] for w in vocab], float), how.sample)
         total, done = max(1, how.epochs * sum(map(len, ids))), 0
+        sign = np.r_[1.0, -np.ones(how.negative)]
+        g, move, back = np.empty(1 + how.negative), np.empty((1 + how.negative, how.dim)), np.empty(how.dim)
+        column, dot, tanh, subtract, multiply = g[:, None], np.dot, np.tanh, np.subtract, np.multiply
+
+        def step(h: np.ndarray, out: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            """Moves the rows ``out`` by a step; what h is to be moved by. (The logistic function of x is (1 + tanh(x / 2)) / 2.)"""
+            rows = w_out.take(out, 0)
+            dot(rows, h, g)
+            tanh(g, g)
+            subtract(sign, g, g)
+            multiply(g, weight, g)
+            dot(g, rows, back)
+            multiply(column, h, move)
+            rows += move
+            w_out[out] = rows
+            return back
+
         for _ in range(how.epochs):
             for k in rng.permutation(len(ids)):
                 s = ids[k]
@@ -89,20 +138,23 @@ def train(lines: DataFrame, how: Training = Training()) -> DataFrame:
                 done += len(s)
                 if how.sample and len(s):
                     s = s[rng.random(len(s)) < chance[s]]
-                for i, c in enumerate(s):
-                    reach = rng.integers(1, how.window + 1)
-                    near = np.concatenate([s[max(0, i - reach) : i], s[i + 1 : i + 1 + reach]])
-                    if not len(near):
-                        continue
-                    for ctx in [near] if not how.sg else near[:, None]:
-                        h = w_in[ctx].mean(axis=0)
-                        drawn = np.minimum(np.searchsorted(noise, rng.random(how.negative)), len(vocab) - 1)
-                        out = np.concatenate([[c], drawn[drawn != c]])
-                        g = (np.r_[1.0, np.zeros(len(out) - 1)] - 1 / (1 + np.exp(-np.clip(w_out[out] @ h, -30, 30)))) * rate
-                        back = g @ w_out[out]
-                        np.add.at(w_out, out, g[:, None] * h)
-                        np.add.at(w_in, ctx, back / len(ctx))
-        return pd.DataFrame({"period": key[0], "word": vocab, "vec": [v.astype(np.float32) for v in w_in]})
+                if len(s) < 2:
+                    continue
+                word, near = _sentence(s, rng.integers(1, how.window + 1, len(s)), how.window)
+                own = s[word] if how.sg else s
+                drawn = np.minimum(np.searchsorted(noise, rng.random((len(own), how.negative))), len(vocab) - 1)
+                outs, weights = _choices(own, drawn, len(vocab))
+                weights *= rate / 2
+                if how.sg:
+                    for ctx, out, weight in zip(s[near].tolist(), outs, weights):
+                        h = vectors[ctx]
+                        h += step(h, out, weight)
+                else:
+                    begin = np.searchsorted(word, np.arange(len(s) + 1))
+                    for i, (out, weight) in enumerate(zip(outs, weights)):
+                        ctx = s[near[begin[i] : begin[i + 1]]]
+                        np.add.at(w_in, ctx, step(w_in[ctx].mean(axis=0), out, weight) / len(ctx))
+        return pd.DataFrame({"period": key[0], "word": vocab, "vec": [v.astype(np.float32) for v in w_in * ROOT]})
 
     return lines.select("period", "line").groupBy("period").applyInPandas(fit, "period string, word string, vec array<float>")
 

@@ -190,3 +190,48 @@ def test_many_points_are_clustered_in_tiles_as_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(cluster, "nearest", lambda *a, f=cluster.nearest, **k: (tiled.append(a), f(*a, **k))[1])
     assert each() == want and fold() == carried and len(tiled) > 4
     assert len({k for (p, _), k in want.items() if p == "a"}) > 5
+
+
+def test_a_sentence_is_prepared_at_once():
+    """Pairs and draws as a loop over words finds them; a word's draws of itself do not count, repeats count as often."""
+    rng = np.random.default_rng(7)
+    s, reach = rng.integers(0, 6, 15), rng.integers(1, 4, 15)
+    word, near = embed._sentence(s, reach, 3)
+    want = [(i, j) for i in range(15) for j in range(max(0, i - reach[i]), min(15, i + reach[i] + 1)) if j != i]
+    assert list(zip(word.tolist(), near.tolist())) == want
+    own, drawn = s[word], rng.integers(0, 6, (len(word), 5))
+    outs, weights = embed._choices(own, drawn, 6)
+    for c, d, out, weight in zip(own, drawn, outs, weights):
+        against = {w: k for w, k in zip(out[1:].tolist(), weight[1:].tolist()) if w != 6}
+        assert out[0] == c and weight[0] == 1 and against == {w: d.tolist().count(w) for w in set(d.tolist()) - {c}}
+        assert not weight[1:][out[1:] == 6].any()
+
+
+def test_training_steps_are_those_of_word2vec(spark):
+    """Against a plain statement of the steps on the same draws, repeats and draws of the word itself among them."""
+    rng = np.random.default_rng(8)
+    lines = sorted(" ".join(rng.choice(["a", "b", "c", "d"], 7)) for _ in range(30))
+    df = spark.createDataFrame([("p", x) for x in lines], "period string, line string")
+    for sg in (True, False):
+        how = embed.Training(dim=4, window=2, min_count=1, epochs=2, alpha=0.3, sg=sg, seed=3)
+        got = {r.word: np.array(r.vec) for r in embed.train(df, how).collect()}
+        count = {w: sum(x.split().count(w) for x in lines) for w in "abcd"}
+        vocab = sorted("abcd", key=lambda w: (-count[w], w))
+        rng = np.random.default_rng(3)
+        w_in, w_out, noise = (rng.random((4, 4)) - 0.5) / 4, np.zeros((4, 4)), np.array([count[w] for w in vocab]) ** 0.75
+        noise, done = np.cumsum(noise / noise.sum()), 0
+        for _ in range(2):
+            for k in rng.permutation(30):
+                s = [vocab.index(w) for w in lines[k].split()]
+                rate, done = max(how.min_alpha, 0.3 * (1 - done / 420)), done + 7
+                reach = rng.integers(1, 3, 7)
+                near = [[j for j in range(max(0, i - reach[i]), min(7, i + reach[i] + 1)) if j != i] for i in range(7)]
+                steps = [(i, [j]) for i in range(7) for j in near[i]] if sg else list(enumerate(near))
+                for (i, js), drawn in zip(steps, np.minimum(np.searchsorted(noise, rng.random((len(steps), 5))), 3)):
+                    ctx, out = [s[j] for j in js], [s[i], *(d for d in drawn if d != s[i])]
+                    h = w_in[ctx].mean(axis=0)
+                    g = (np.r_[1.0, np.zeros(len(out) - 1)] - 1 / (1 + np.exp(-w_out[out] @ h))) * rate
+                    back = g @ w_out[out]
+                    np.add.at(w_out, out, g[:, None] * h)
+                    np.add.at(w_in, ctx, back / len(ctx))
+        assert all(np.allclose(got[w], w_in[i], atol=1e-6) for i, w in enumerate(vocab))
