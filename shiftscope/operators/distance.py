@@ -29,6 +29,12 @@ def item_counts(obs: DataFrame) -> DataFrame:
     return obs.where(F.col("period").isNotNull() & F.col("item").isNotNull()).groupBy("slot", F.col("period").cast("string").alias("period"), "item").agg(weight.cast("double").alias("n"))
 
 
+def counted(obs: DataFrame) -> DataFrame:
+    """The observations with equal ones as one weighted row; those without an item or a period stay, as periods are read of them."""
+    weight = F.sum("weight") if "weight" in obs.columns else F.count(F.lit(1))
+    return obs.groupBy("slot", "period", "item").agg(weight.alias("weight"))
+
+
 def period_order(obs: DataFrame, periods: list[str] | DataFrame | None = None) -> DataFrame:
     """(period, ord), one row a period: the given order, or the order of names."""
     if isinstance(periods, DataFrame):

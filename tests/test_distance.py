@@ -64,3 +64,13 @@ def test_contributions_sum_to_the_distance(spark, name):
 def test_matrix_is_symmetric(tiny):
     m = found(ds.period_matrix(tiny), "value")
     assert all(m[(s, b, a)] == v for (s, a, b), v in m.items()) and m[("s", "1", "1")] == 0
+
+
+def test_counted_observations_stand_for_all(spark):
+    """Weighted rows give the distances of the rows they count; a period without an item is a period still."""
+    obs = spark.createDataFrame([("a", "s", x) for x in "xxyz"] + [("b", "s", None), ("b", "t", "x"), (None, "s", "x")] + [("c", "s", x) for x in "xyy"] + [("d", "s", x) for x in "zz"], "period string, slot string, item string")
+    own = ds.counted(obs)
+    assert own.count() == 9 and ds.counted(own).count() == 9
+    for mode in ("all", "data_only"):
+        want, got = (sorted((*r[:4], round(r.dist, 12)) for r in ds.distances(f, ("tvd", "jsd"), mode=mode).collect()) for f in (obs, own))
+        assert got == want and want
